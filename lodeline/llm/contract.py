@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import decontaminate, langid, mixing, quality, toxicity
+from lodeline.llm import decontaminate, langid, mixing, quality, toxicity, winnow
 from lodeline.llm.shared import held_out, in_training
 
 
@@ -19,6 +19,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -48,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op5_winnowing_fingerprints": op5_winnowing_fingerprints,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_language_id": op7_language_id,
         "op9_pareto_mixing": op9_pareto_mixing,
