@@ -2,6 +2,18 @@
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s
+        FROM d, unnest(range(1, len(w) - 11)) AS t(i) WHERE len(w) >= 13),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM hit, unnest(range(i, i + 13)) AS t(p)),
+word AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP3 = rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -42,4 +54,6 @@ SELECT q.doc_id, q.size, source_size, target, (whole + CASE WHEN extra.doc_id IS
 FROM q LEFT JOIN extra ON q.doc_id = extra.doc_id AND q.size = extra.size
 """
 
-SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3, "op9_pareto_mixing": OP9}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1,
+    "op3_benchmark_decontamination": OP3, "op9_pareto_mixing": OP9}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +19,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 512
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, which needn't have it on their path."""
+    if (app := spark.sparkContext.applicationId) not in _SHIPPED:
+        _SHIPPED.add(app)
+        root = Path(__file__).resolve().parents[2]
+        file = Path(tempfile.mkdtemp(prefix="lodeline-"), "lodeline.zip")
+        with zipfile.ZipFile(file, "w") as out:
+            for p in sorted(root.joinpath("lodeline").rglob("*.py")):
+                out.write(p, p.relative_to(root))
+        spark.sparkContext.addPyFile(str(file))
+
+
 def session(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
