@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import decontaminate, langid, mixing, quality, substring_dedup, toxicity, winnow
+from lodeline.llm import decontaminate, langid, minhash, mixing, quality, substring_dedup, toxicity, winnow
 from lodeline.llm.shared import held_out, in_training
 
 
@@ -41,6 +41,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_dart_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_winnowing_fingerprints": op5_winnowing_fingerprints,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_language_id": op7_language_id,
+        "op8_dart_minhash_dedup": op8_dart_minhash_dedup,
         "op9_pareto_mixing": op9_pareto_mixing,
         "op10_toxicity": op10_toxicity,
     }
