@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import decontaminate, langid, minhash, mixing, quality, substring_dedup, toxicity, winnow
+from lodeline.llm import decontaminate, langid, minhash, mixing, pii, quality, substring_dedup, toxicity, winnow
 from lodeline.llm.shared import held_out, in_training
 
 
@@ -19,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_personal_data": op2_personal_data,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_winnowing_fingerprints": op5_winnowing_fingerprints,
         "op6_quality_classifier": op6_quality_classifier,
