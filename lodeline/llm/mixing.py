@@ -55,14 +55,11 @@ def _uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + 0.5) / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
-
-    A null text has size 0 and takes nothing. The null source is a source like any other, after all named ones.
-    Ties of the rank go by doc_id, then size; rows that repeat both are taken alike. An empty table gives an
-    empty result; other columns are not read. Each source's taken words miss its target by half a document at most.
-    """
-    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))  # narrow: texts are read once
+def _decided(docs: DataFrame, weights: tuple, most: int, seed: str, carry: bool) -> DataFrame:
+    """With ``carry`` row (a struct of all columns of ``docs``); doc_id, source, size, source_size, target, copies, taken."""
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = materialise(narrow)  # all statistics come from this table
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")) if carry else sized
     few = sized.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     side = F.broadcast if few else (lambda df: df)
     plan = source_targets(sized, weights, most).select(
@@ -75,14 +72,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed
     share = F.col("ratio") - F.floor("ratio")
     # Random odds over inclusion odds; within a source all are included alike, sources differ.
     pareto = (u / (1 - u)) / (share / (1 - share))
-    ranked = (
-        sized.join(side(plan), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("whole", F.floor("ratio").cast("bigint"))
-        .withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("q", F.when(share > 0, pareto))
-        .withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int"))
-        .drop("s", "ratio")
-    )
+
+    def rank(rows: DataFrame) -> DataFrame:
+        return (
+            rows.join(side(plan), F.col("source").eqNullSafe(F.col("s")))
+            .withColumn("whole", F.floor("ratio").cast("bigint"))
+            .withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+            .withColumn("q", F.when(share > 0, pareto))
+            .withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int"))
+            .drop("s", "ratio")
+        )
+
+    ranked = rank(sized)
     # Sizes by source and bin are pre-aggregated: a source with a third of all rows has BINS rows here.
     bins = ranked.where("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("in_bin"), F.first("left").alias("left"))
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,6 +107,24 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed
     inside = (F.col("bin") == F.col("cut")) & F.coalesce(F.struct("q", "doc_id", "size") <= F.col("last"), F.lit(False))
     extra = F.col("bin").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut")) | inside)
     copies = F.col("whole") + F.when(extra, 1).otherwise(0)
-    return ranked.join(side(ends), F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    decided = rank(whole).join(side(ends), F.col("source").eqNullSafe(F.col("s")), "left")
+    return decided.select(*(["row"] if carry else []), "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
+    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+
+    A null text has size 0 and takes nothing. The null source is a source like any other, after all named ones.
+    Ties of the rank go by doc_id, then size; rows that repeat both are taken alike. An empty table gives an
+    empty result; other columns are not read. Each source's taken words miss its target by half a document at most.
+    """
+    return _decided(docs, weights, most, seed, carry=False)
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
+    """``docs``, all its columns, of the documents that the mix takes, with ``copies``, how often it takes them.
+
+    A column of that name gives way. Texts of no words are taken with their source but add nothing.
+    """
+    decided = _decided(docs, weights, most, seed, carry=True).where("copies > 0")
+    return decided.select("row.*", "copies") if "copies" not in docs.columns else decided.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != "copies"), "copies")
