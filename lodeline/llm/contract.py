@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import decontaminate, langid, minhash, mixing, pii, quality, substring_dedup, toxicity, winnow
+from lodeline.llm import decontaminate, langid, minhash, mixing, pii, quality, substring_dedup, toxicity, warc, winnow
 from lodeline.llm.shared import held_out, in_training
 
 
@@ -27,6 +27,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    return found.withColumn("response_id", F.coalesce("response_id", F.lit(-1).cast("bigint")))  # -1: an orphan
+
+
 def op5_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_personal_data": op2_personal_data,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_warc_revisits": op4_warc_revisits,
         "op5_winnowing_fingerprints": op5_winnowing_fingerprints,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_language_id": op7_language_id,

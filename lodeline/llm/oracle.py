@@ -32,6 +32,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Records are made of pages as in ``warc.records_of_pages``, then each revisit takes the latest response before it.
+OP4 = r"""
+WITH p AS (SELECT page_id AS n, coalesce(html, '') AS html,
+  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?://)', '') AS bare FROM pages),
+c AS (SELECT n, html, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '')
+  || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS stem,
+  list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) AS q FROM p),
+k AS (SELECT n, html, stem || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canon,
+  '"' || md5(html) || '"' AS etag, 'day ' || CAST(n % 365 AS VARCHAR) AS changed FROM c),
+v AS (SELECT n * 2 + 1 AS record_id, n, canon, n * 4 + CASE WHEN n % 3 = 0 THEN -1 ELSE 1 END AS ts,
+  CASE WHEN n % 11 = 0 OR n % 7 = 0 THEN NULL WHEN n % 5 = 0 THEN '"' || CAST(n AS VARCHAR) || '"' ELSE etag END AS mine,
+  CASE WHEN n % 11 = 0 OR n % 7 = 0 THEN NULL WHEN n % 5 = 0 THEN '"' || CAST(n AS VARCHAR) || '"' ELSE 'W/' || etag END AS shown,
+  CASE WHEN n % 11 <> 0 AND n % 7 = 0 THEN changed END AS since FROM k),
+a AS (SELECT v.*, (SELECT max(k.n) FROM k WHERE k.canon = v.canon AND k.n * 4 < v.ts) AS m FROM v),
+r AS (SELECT a.*, k.etag AS had, k.changed AS stood, sha256(k.html) AS digest,
+  CASE WHEN a.m IS NULL THEN 'orphan' WHEN mine IS NOT NULL THEN CASE WHEN mine = k.etag THEN 'resolved' ELSE 'mismatch' END
+       WHEN since IS NOT NULL THEN CASE WHEN since = k.changed THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS outcome
+  FROM a LEFT JOIN k ON k.n = a.m)
+SELECT record_id, canon AS url, ts, coalesce(m * 2, -1) AS response_id, outcome,
+  CASE WHEN outcome IN ('resolved', 'unverified')
+    THEN concat_ws(chr(10), 'content-type: text/html', 'date: ' || CAST(n + 1 AS VARCHAR), 'etag: ' || coalesce(shown, had), 'expires: later', 'last-modified: ' || stood)
+    ELSE concat_ws(chr(10), 'content-type: ignored', 'date: ' || CAST(n + 1 AS VARCHAR), 'etag: ' || shown, 'expires: later', 'last-modified: ' || since) END AS headers,
+  CASE WHEN outcome IN ('resolved', 'unverified') THEN digest END AS digest
+FROM r
+"""
+
 #: Shares by weight, capped at three times the size: the level where the capped sources' sum and the others' weights meet.
 OP9 = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
@@ -56,4 +82,6 @@ FROM q LEFT JOIN extra ON q.doc_id = extra.doc_id AND q.size = extra.size
 
 SQL: dict[str, str] = {
     "op1_substring_dedup": OP1,
-    "op3_benchmark_decontamination": OP3, "op9_pareto_mixing": OP9}
+    "op3_benchmark_decontamination": OP3,
+    "op4_warc_revisits": OP4,
+    "op9_pareto_mixing": OP9}
