@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,8 @@ MOST_BYTES = 10_000_000
 _PLACES = ("self", "super", "crate")
 
 FACTS = "file string, fact string, name string, path string, parent string, kind string, visibility string, flag boolean, flag2 boolean, flag3 boolean, number int, total int, place long, names array<string>"
-_COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
+_KINDS = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+_ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in FACTS.split(", "))])
 
 #: View: fact, and the wide table's columns under the view's names.
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
@@ -320,19 +321,19 @@ def facts_of(file: str, content: str | None) -> list[dict]:
 def extract(files: DataFrame, path: str = "path", content: str = "content", strict: bool = False) -> DataFrame:
     """The wide fact table of files (path, content). ``strict``: the first file that can't be parsed fails the job."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for file, text in zip(frame["path"], frame["content"], strict=True):
-                found = facts_of(file, None if text is None else text if isinstance(text, str) else bytes(text).decode("utf-8", "replace"))
-                if strict and found and found[0]["fact"] == "error":
+            for file, text in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                found = facts_of(file, text.decode("utf-8", "replace") if isinstance(text, bytes) else text)
+                if strict and found[0]["fact"] == "error":
                     raise RustSyntaxError(f"{file}: {found[0]['path']}")
                 rows += found
             if rows:
-                yield pd.DataFrame(rows, columns=_COLUMNS).astype({"number": "Int32", "total": "Int32", "place": "Int64"})
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     ship(files.sparkSession)
-    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, FACTS)
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, FACTS)
 
 
 def view(facts: DataFrame, name: str) -> DataFrame:
