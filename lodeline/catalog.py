@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import paths
 from lodeline.operators import graph, liveness, resolve, snapshot
+from lodeline.plans import detectors
+from lodeline.rust.facts import extract
+from lodeline.sinks import export
+from lodeline.streaming import reanalyze
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -352,3 +356,82 @@ def valid_roots(spark, sf_dir):
 @query("SELECT DISTINCT p_type FROM part")
 def palette_modules(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type")
+
+
+# ---------------------------------------------------------------- sinks and streaming
+
+
+@query(f"""WITH {_EDGES} SELECT '"' || src || '" -> "' || dst || '";' AS line FROM edges""")
+def dot_lines(spark, sf_dir):
+    return export.edge_lines(part_edges(spark, sf_dir))
+
+
+@query("SELECT '\"' || p_partkey || '\" [label=\"' || p_partkey || '\", style=filled, fillcolor=' || CASE WHEN p_size > 25 THEN 'lightcoral' ELSE 'lightgreen' END || '];' AS line FROM part")
+def dot_nodes(spark, sf_dir):
+    return export.node_lines(part_nodes(spark, sf_dir).withColumn("dead", F.col("p_size") > 25))
+
+
+@query(f"{_DEAD}, {_NUMBERED} SELECT number, p_name AS name, p_partkey IN (SELECT n FROM dead) AS dead FROM part JOIN ids USING (p_partkey)")
+def viz_nodes(spark, sf_dir):
+    nodes = part_nodes(spark, sf_dir)
+    return export.viz_nodes(nodes, graph.dead_nodes(nodes, graph.reach(part_edges(spark, sf_dir), part_roots(nodes))), "p_name")
+
+
+@query("SELECT CASE WHEN length(p_name) > 12 THEN substr(p_name, 1, 9) || '...' ELSE p_name END AS label, count(*) AS parts FROM part GROUP BY 1")
+def short_labels(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(paths.short_label(F.col("p_name"), 12).alias("label")).agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_reanalyze(spark, sf_dir):
+    """The latest event of each user, kept up by ``foreachBatch`` over a stream of the events."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return reanalyze.replay(spark, events, lambda df: liveness.last_writer(df, ["user_id"], ["event_id"])).select("user_id", "event_type", "event_id")
+
+
+# ---------------------------------------------------------------- the Rust front end, over sources made of the tables
+
+
+@query(f"{_DEAD} SELECT 'p' || n AS name FROM dead")
+def rust_dead_modules(spark, sf_dir):
+    """A module for each part that uses the parts after it; the crate declares the first three."""
+    uses = part_edges(spark, sf_dir).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("use p"), "dst", F.lit("::f;")))), "\n").alias("content"))
+    parts = part_nodes(spark, sf_dir).select("id").join(uses, F.col("id") == F.col("src"), "left")
+    files = parts.select(F.concat(F.lit("src/p"), "id", F.lit(".rs")).alias("path"), F.coalesce("content", F.lit("pub fn f() {}")).alias("content"))
+    files = files.unionByName(spark.createDataFrame([("src/main.rs", "mod p0; mod p1; mod p2; fn main() {}")], files.schema))
+    files = files.withColumn("stem", paths.stem(F.col("path")))
+    roots = files.select(paths.root_name(F.col("path")).alias("id")).where("id is not null")
+    return detectors.dead_modules(files, extract(files), roots).dead.select("name")
+
+
+@query("SELECT 'K' || o_orderkey AS name FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def rust_dead_constants(spark, sf_dir):
+    """A constant for each order, used by each of its lines."""
+    declared = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 100).alias("k")).agg(F.array_join(F.collect_list(F.concat(F.lit("const K"), "o_orderkey", F.lit(": u8 = 1;"))), "\n").alias("content"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 100).alias("k")).distinct()
+    used = lines.groupBy("k").agg(F.concat(F.lit("fn f() {"), F.array_join(F.collect_list(F.concat(F.lit("g(K"), "l_orderkey", F.lit(");"))), "\n"), F.lit("}")).alias("content"))
+    files = declared.select(F.concat(F.lit("src/d"), "k", F.lit(".rs")).alias("path"), "content").unionByName(used.select(F.concat(F.lit("src/u"), "k", F.lit(".rs")).alias("path"), "content"))
+    return detectors.dead_constants(extract(files)).dead.select("name")
+
+
+@query("""WITH f AS (SELECT user_id, event_id, event_type = 'error' AND value > 60 AS flag, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY user_id) AS n,
+  coalesce(bool_or(event_type = 'error' AND value > 60) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS prior
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT 'src/u' || user_id || '.rs' AS file, CAST(position AS INT) AS position, CASE WHEN flag THEN 'NonFinalWildcard' ELSE 'MaskedByWildcard' END AS reason FROM f WHERE (flag AND position < n - 1) OR (NOT flag AND prior)""")
+def rust_match_arms(spark, sf_dir):
+    """A match for each user whose arms are the user's events, the flagged ones wildcards."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr("event_type = 'error' and value > 60").alias("flag"))
+    arm = F.when(F.col("flag"), "_ => 0,").otherwise(F.concat(F.lit("E"), "event_id", F.lit(" => 1,")))
+    arms = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", arm.alias("arm")))).alias("arms"))
+    content = F.concat(F.lit("fn f() { match x {\n"), F.array_join(F.transform("arms", lambda a: a["arm"]), "\n"), F.lit("\n} }"))
+    files = arms.select(F.concat(F.lit("src/u"), "user_id", F.lit(".rs")).alias("path"), content.alias("content"))
+    return detectors.dead_match_arms(extract(files)).dead.select("file", "position", "reason")
+
+
+@query("""SELECT 'f' || p_partkey AS full_path FROM part WHERE p_size < 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 1)""")
+def rust_dead_functions(spark, sf_dir):
+    """A private function for each small part and a public one, in a file of its own, that calls those of single pieces."""
+    parts = table(spark, sf_dir, "part").where("p_size < 10").select(F.concat(F.lit("src/f"), "p_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("fn f"), "p_partkey", F.lit("() {}")).alias("content"))
+    called = table(spark, sf_dir, "lineitem").where("l_quantity = 1").select("l_partkey").distinct()
+    calls = called.select(F.concat(F.lit("src/c"), "l_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("pub fn c"), "l_partkey", F.lit("() { f"), "l_partkey", F.lit("() }")).alias("content"))
+    return detectors.dead_functions(extract(parts.unionByName(calls))).dead.select("full_path")

@@ -58,9 +58,9 @@ def _local(edges: DataFrame, roots: DataFrame, limit: int | None) -> DataFrame:
     kind = roots.schema["id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True)
-        if not len(rows):
+        if not (parts := [f for f in frames if len(f)]):
             return
+        rows = pd.concat(parts, ignore_index=True)
         is_root = rows["root"].to_numpy(dtype=bool)
         codes, ids = pd.factorize(pd.concat([rows["src"][~is_root], rows["dst"]], ignore_index=True))
         n = int((~is_root).sum())
