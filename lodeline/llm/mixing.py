@@ -79,7 +79,7 @@ def _decided(docs: DataFrame, weights: tuple, most: int, seed: str, carry: bool)
             .withColumn("whole", F.floor("ratio").cast("bigint"))
             .withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
             .withColumn("q", F.when(share > 0, pareto))
-            .withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int"))
+            .withColumn("bin", F.when(F.col("q").isNotNull(), F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int")))
             .drop("s", "ratio")
         )
 
