@@ -76,8 +76,8 @@ def _local(edges: DataFrame, roots: DataFrame, limit: int | None) -> DataFrame:
 
 
 def _distributed(edges: DataFrame, roots: DataFrame, limit: int | None) -> DataFrame:
-    # Dealt by src once; each round's join finds the edges where they are.
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    # Found once; each round reads them again and, while the front is small, joins without moving them.
+    edges = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     front = materialise(roots.select("id", F.lit(0).cast("bigint").alias("level")).where("id is not null").distinct())
     seen, depth = front, 0
     while limit is None or depth < limit:
