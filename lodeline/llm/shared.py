@@ -85,8 +85,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(~in_training(doc_id), F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> list[tuple[bytes, int]]:
-    """At most ``per_class`` training texts of either label, chosen by a hash of doc_id, so the same ones in each run.
+def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> DataFrame:
+    """(rank, text, label): at most ``per_class`` training texts of either label, chosen by a hash of doc_id, so the same ones in each run.
 
     The choice is made among the labels, which are narrow; only the chosen ids, a bounded number, are joined
     with the texts. Rows with a null label or text are left out. Of a doc_id with several labels the largest counts.
@@ -100,15 +100,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     )
     chosen = [known.where(F.col("label") == x).orderBy("rank").limit(per_class) for x in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows at most
-    rows = (
+    return (
         docs.select("doc_id", "text")
         .where(F.col("text").isNotNull())
         .join(picked, "doc_id")
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("rank").alias("rank"))
         .select("rank", "text", "label")
-        .collect()
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> list[tuple[bytes, int]]:
+    """The texts and labels of ``labelled_rows``, in the order of their rank."""
+    rows = labelled_rows(docs, labels, target, per_class).collect()
     return [(r["text"].encode("utf-8", "surrogatepass"), r["label"]) for r in sorted(rows, key=lambda r: r["rank"])]
 
 

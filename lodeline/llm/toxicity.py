@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodeline.llm.shared import labelled_sample, map_arrow, once, session, texts
+from lodeline.llm.shared import labelled_rows, map_arrow, once, session, texts
 
 BITS = 18
 #: Labelled training rows of either class at most; a documented bound, the scores cover all rows.
@@ -93,35 +93,50 @@ class _Rows:
         return np.bincount(self.index, g[self.at], size)
 
 
-def train(sample: list[tuple[bytes, int]], penalty: float = PENALTY, epochs: int = EPOCHS, least: int = LEAST_TEXTS, errors: float = LEAST_ERRORS, l1: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept; an empty sample gives zeros, so every score is one half.
+def _pair(text: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    """A text's features and its counterfactual's."""
+    words = words_of(text)
+    other = counterfactual(words)
+    return features(words), None if other is None else features(other)
+
+
+def train(sample: list[tuple[bytes, int]], **settings) -> tuple[np.ndarray, float]:
+    """``train_features`` of labelled texts."""
+    return train_features([(*_pair(t), y) for t, y in sample], **settings)
+
+
+def train_features(rows: list[tuple[np.ndarray, np.ndarray | None, int]], penalty: float = PENALTY, epochs: int = EPOCHS, least: int = LEAST_TEXTS, errors: float = LEAST_ERRORS, l1: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and intercept from (features, counterfactual's features, label); no rows give zeros, so every score is one half.
 
     Full-batch proximal AdaGrad with L1 over the features that tell the classes apart.
     """
     size = 1 << BITS
-    if not sample:
+    if not rows:
         return np.zeros(size, np.float32), 0.0
-    split = [words_of(t) for t, _ in sample]
-    in_class = [np.bincount(np.concatenate([features(w) for w, (_, y) in zip(split, sample, strict=True) if y == k] + [np.zeros(0, np.int64)]), minlength=size) for k in (0, 1)]
-    texts_of = [sum(y == k for _, y in sample) for k in (0, 1)]
+    in_class, texts_of = [np.zeros(size, np.int64), np.zeros(size, np.int64)], [0, 0]
+    for own, _, label in rows:
+        in_class[label][own] += 1  # a text's features are distinct
+        texts_of[label] += 1
     odds = [np.log((n + 0.5) / (t - n + 0.5)) for n, t in zip(in_class, texts_of, strict=True)]
     spread = np.sqrt(sum(1 / (n + 0.5) + 1 / (t - n + 0.5) for n, t in zip(in_class, texts_of, strict=True)))
     seen = (in_class[0] + in_class[1] >= least) & (np.abs(odds[1] - odds[0]) >= errors * spread)
-    pairs = [(i, c) for i, w in enumerate(split) if (c := counterfactual(w))]
-    for _, words in pairs:  # a swapped-in term needs a weight too, else its pair can't be compared
-        seen[features([w for w in words if w in _NEXT])] = True
-    keep = lambda words: (f := features(words))[seen[f]]
-    x, y = _Rows([keep(w) for w in split]), np.array([label for _, label in sample], dtype=np.float64)
-    of, other = np.array([i for i, _ in pairs], dtype=np.int64), _Rows([keep(c) for _, c in pairs])
-    balance = np.full(len(y), 1 / len(y))
+    terms = np.zeros(size, bool)
+    terms[features(list(_NEXT))] = True
+    for _, other, _ in rows:  # a swapped-in term needs a weight too, else its pair can't be compared
+        if other is not None:
+            seen[other[terms[other]]] = True
+    keep = lambda f: f[seen[f]]
+    x, y = _Rows([keep(own) for own, _, _ in rows]), np.array([label for _, _, label in rows], dtype=np.float64)
+    pairs = [(i, other) for i, (_, other, _) in enumerate(rows) if other is not None]
+    of, swapped = np.array([i for i, _ in pairs], dtype=np.int64), _Rows([keep(other) for _, other in pairs])
+    share = 1 / len(y)
     w, b, sq, sq_b = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(epochs):
         z = x.dot(w) + b
-        g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gap = z[of] - other.dot(w) - b
-        pull = 2 * penalty * balance[of] * gap
+        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        pull = 2 * penalty * share * (z[of] - swapped.dot(w) - b)
         np.add.at(g_pair := np.zeros_like(g), of, pull)
-        grad = x.back(g + g_pair, size) - other.back(pull, size)
+        grad = x.back(g + g_pair, size) - swapped.back(pull, size)
         sq += grad * grad
         rate = 0.5 / np.sqrt(sq)
         w -= rate * grad
@@ -132,8 +147,17 @@ def train(sample: list[tuple[bytes, int]], penalty: float = PENALTY, epochs: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float]:
+    """Texts become features where they are; the driver gets a bounded number of rows of packed features."""
     session(docs)
-    return train(labelled_sample(docs, labels, "toxic", per_class))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = [_pair(t) for t in texts(batch["text"])]
+        pack = lambda f: None if f is None else f.astype(np.int32).tobytes()
+        return pa.record_batch([batch["rank"], batch["label"], pa.array([pack(a) for a, _ in pairs], pa.binary()), pa.array([pack(b) for _, b in pairs], pa.binary())], ["rank", "label", "own", "other"])
+
+    packed = map_arrow(labelled_rows(docs, labels, "toxic", per_class), each, "rank string, label int, own binary, other binary")
+    read = lambda f: None if f is None else np.frombuffer(f, np.int32)
+    return train_features([(read(r["own"]), read(r["other"]), r["label"]) for r in sorted(packed.collect(), key=lambda r: r["rank"])])
 
 
 def _score(text: bytes, model: tuple[np.ndarray, float]) -> float:
