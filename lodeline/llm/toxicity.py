@@ -23,7 +23,7 @@ SAMPLE_PER_CLASS = 4_000
 #: Features seen in fewer training texts, or whose log odds between the classes are within so many standard errors of
 #: naught, are left out: a long text holds thousands of words that tell nothing, and must gather no noise from them.
 LEAST_TEXTS = 4
-LEAST_ERRORS = 3.5
+LEAST_ERRORS = 2.8
 EPOCHS = 200
 #: Weight of the squared logit difference between a text and its counterfactual.
 PENALTY = 1.0
