@@ -74,7 +74,7 @@ def with_successor(docs: DataFrame, columns: list[str]) -> DataFrame:
     lo, hi, n = ends["lo"] or 0, ends["hi"] or 0, ends["n"]
     count = max(1, min(STRETCHES, n // STRETCH))
     width = max(1, -(-(hi - lo + 1) // count))
-    stretch = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("bigint"), F.lit(-1).cast("bigint"))
+    stretch = F.coalesce(F.expr(f"(doc_id - {lo}L) div {width}L"), F.lit(-1).cast("bigint"))
     firsts = docs.groupBy(stretch.alias("s")).agg(F.min("doc_id").alias("first")).orderBy("s").collect()  # STRETCHES + 1 rows at most
     before = [(r["first"], firsts[i - 1]["s"]) for i, r in enumerate(firsts)]
     back = F.broadcast(docs.sparkSession.createDataFrame(before, "__first bigint, __before bigint"))
@@ -82,11 +82,10 @@ def with_successor(docs: DataFrame, columns: list[str]) -> DataFrame:
         F.array(F.struct(stretch.alias("s"), F.lit(False).alias("guest")), F.struct(F.col("__before").alias("s"), F.lit(True).alias("guest"))),
         lambda p: p["s"].isNotNull(),
     )
-    dealt = docs.join(back, F.col("doc_id").eqNullSafe(F.col("__first")), "left").withColumn("__at", F.explode(places)).drop("__first", "__before")
-    order = Window.partitionBy(F.col("__at.s")).orderBy(F.col("__at.guest"), F.col("doc_id"), F.col("text"))
-    for c in columns:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.where(~F.col("__at.guest")).drop("__at")
+    dealt = docs.join(back, F.col("doc_id").eqNullSafe(F.col("__first")), "left").select(*docs.columns, F.inline(places).alias("__stretch", "__guest"))
+    # All from one window, or the texts would move once for each.
+    order = Window.partitionBy("__stretch").orderBy("__guest", "doc_id", "text")
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("not __guest").drop("__stretch", "__guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
