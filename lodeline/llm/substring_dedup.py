@@ -220,7 +220,7 @@ def _shared_anchors(docs: DataFrame, hot: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _passages(batches, hottest: np.ndarray):
-    """Texts and their shared anchors to passages: (route, anchor, start, doc_id, passage), or (route, .., doc_id, spans) where a copy in this task has settled all.
+    """Texts and their shared anchors to passages: (route, anchor, doc_id, starts, passage), or (route, .., doc_id, spans) where a copy in this task has settled all.
 
     Of equal passages in a task only the first document's goes on; it alone may be the corpus' first.
     """
@@ -244,22 +244,22 @@ def _passages(batches, hottest: np.ndarray):
     rows = []
 
     def batch_of(rows):
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], _PASSAGE)
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], _PASSAGE)
 
     for (key, passage), where in held.items():
         least = min(where)[0]
         n = passage.count(b" ") + 2 - LENGTH
+        starts = np.array([at for doc, at in where if doc == least], dtype=np.int32).tobytes()
+        signed = key - 2**64 if key >= 2**63 else key
+        rows.append((signed, signed, least, starts, passage, None))
         for doc, at in where:
             if doc > least:
                 settled.setdefault(doc, []).extend(range(at, at + n))
-            else:
-                signed = key - 2**64 if key >= 2**63 else key
-                rows.append((signed, signed, doc, at, passage, None))
         if len(rows) >= 5_000:
             yield batch_of(rows)
             rows = []
     for doc, starts in settled.items():
-        rows.append((doc * 2_654_435_761 % 2**61, 0, doc, 0, None, _spans(sorted(set(starts)))))
+        rows.append((doc * 2_654_435_761 % 2**61, 0, doc, None, None, _spans(sorted(set(starts)))))
         if len(rows) >= 5_000:
             yield batch_of(rows)
             rows = []
@@ -267,7 +267,7 @@ def _passages(batches, hottest: np.ndarray):
         yield batch_of(rows)
 
 
-_PASSAGE = ["route", "anchor", "doc_id", "start", "passage", "spans"]
+_PASSAGE = ["route", "anchor", "doc_id", "starts", "passage", "spans"]
 
 
 def _repeated(passages: list[bytes], least: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
@@ -299,19 +299,19 @@ def _resolve(batches):
     groups: dict = {}
     out: dict = {}
     for batch in batches:
-        for anchor, doc, start, passage, spans in zip(*(batch[c].to_pylist() for c in _PASSAGE[1:]), strict=True):
+        for anchor, doc, starts, passage, spans in zip(*(batch[c].to_pylist() for c in _PASSAGE[1:]), strict=True):
             if passage is None:
                 out.setdefault(doc, []).append(spans)
             else:
-                groups.setdefault(anchor, {}).setdefault(passage, []).append((doc, start))
+                groups.setdefault(anchor, {}).setdefault(passage, []).append((doc, np.frombuffer(starts, np.int32).tolist()))
     windows: dict = {}
     while groups:
         _, group = groups.popitem()
         least = {p: min(where)[0] for p, where in group.items()}
         for p, found in _repeated(list(group), least).items():
-            for doc, start in group[p]:
-                if starts := [start + i for i, first in found if first < doc]:
-                    windows.setdefault(doc, []).extend(starts)
+            for doc, starts in group[p]:
+                if later := [i for i, first in found if first < doc]:
+                    windows.setdefault(doc, []).extend(at + i for at in starts for i in later)
     for doc, starts in windows.items():
         out.setdefault(doc, []).append(_spans(sorted(set(starts))))
     docs = list(out)
@@ -332,7 +332,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         return _passages(batches, shared.value)
 
     # A left join, as in ``deduplicate``, so that both read the texts from one exchange.
-    joined = chosen.join(anchors, "doc_id", "left").mapInArrow(passages, "route bigint, anchor bigint, doc_id bigint, start int, passage binary, spans binary")
+    joined = chosen.join(anchors, "doc_id", "left").mapInArrow(passages, "route bigint, anchor bigint, doc_id bigint, starts binary, passage binary, spans binary")
     return joined.repartition("route").mapInArrow(_resolve, "doc_id bigint, spans binary")
 
 
