@@ -295,7 +295,7 @@ REFERENCE = 3_000
 
 
 def _resolve(batches):
-    """Passages that share an anchor to spans: (doc_id, spans)."""
+    """Passages that share an anchor to spans, packed by bucket of documents: a task sends a row for each bucket, not for each document."""
     groups: dict = {}
     out: dict = {}
     for batch in batches:
@@ -314,6 +314,35 @@ def _resolve(batches):
                     windows.setdefault(doc, []).extend(at + i for at in starts for i in later)
     for doc, starts in windows.items():
         out.setdefault(doc, []).append(_spans(sorted(set(starts))))
+    buckets: dict = {}
+    for doc in out:
+        buckets.setdefault(doc * 2_654_435_761 % 2**61 % DEALS, []).append(doc)
+    keys = list(buckets)
+    for at in range(0, len(keys), 1_000):
+        some = keys[at : at + 1_000]
+        joined = [[b"".join(out[d]) for d in buckets[k]] for k in some]
+        yield pa.record_batch(
+            [
+                pa.array(some, pa.int32()),
+                pa.array([np.array(buckets[k], np.int64).tobytes() for k in some], pa.binary()),
+                pa.array([np.array([len(x) for x in j], np.int64).tobytes() for j in joined], pa.binary()),
+                pa.array([b"".join(j) for j in joined], pa.binary()),
+            ],
+            _PACKED,
+        )
+
+
+_PACKED = ["bucket", "docs", "sizes", "spans"]
+
+
+def _unpack(batches):
+    """Buckets of documents to (doc_id, spans), one row for each document."""
+    out: dict = {}
+    for batch in batches:
+        for docs, sizes, spans in zip(*(batch[c].to_pylist() for c in _PACKED[1:]), strict=True):
+            ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+            for doc, a, b in zip(np.frombuffer(docs, np.int64).tolist(), [0, *ends], ends, strict=False):
+                out.setdefault(doc, []).append(spans[a:b])
     docs = list(out)
     for at in range(0, len(docs), 5_000):
         some = docs[at : at + 5_000]
@@ -321,7 +350,7 @@ def _resolve(batches):
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): pairs of 32-bit word numbers, start and end, of what is removed; a document may have several rows and spans may overlap."""
+    """(doc_id, spans): pairs of 32-bit word numbers, start and end, of what is removed; spans may overlap."""
     session(docs)
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found, hottest = _shared_anchors(chosen, max(HOT, chosen.count() // HOT_SHARE))
@@ -333,7 +362,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     # A left join, as in ``deduplicate``, so that both read the texts from one exchange.
     joined = chosen.join(anchors, "doc_id", "left").mapInArrow(passages, "route bigint, anchor bigint, doc_id bigint, starts binary, passage binary, spans binary")
-    return joined.repartition("route").mapInArrow(_resolve, "doc_id bigint, spans binary")
+    packed = joined.repartition("route").mapInArrow(_resolve, "bucket int, docs binary, sizes binary, spans binary")
+    return packed.repartition("bucket").mapInArrow(_unpack, "doc_id bigint, spans binary")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -343,7 +373,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     of each other and lose alike. A row whose doc_id is null comes before or after none: it is kept whole and
     removes nothing. An empty table gives an empty result; other columns are not read.
     """
-    spans = removed_spans(docs).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    spans = removed_spans(docs)
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -353,7 +383,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             total.append(len(words))
             if spans:
                 edge = np.zeros(len(words) + 1, np.int32)
-                pairs = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2)
+                pairs = np.frombuffer(spans, np.int32).reshape(-1, 2)
                 np.add.at(edge, pairs[:, 0], 1)
                 np.add.at(edge, np.minimum(pairs[:, 1], len(words)), -1)
                 stays = np.cumsum(edge)[:-1] <= 0
