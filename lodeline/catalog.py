@@ -97,6 +97,18 @@ def max_depth_by_source(spark, sf_dir):
     return graph.depth_by_source(part_edges(spark, sf_dir), part_roots(part_nodes(spark, sf_dir)), max_level=8)
 
 
+@query(None)
+def bfs_levels_whole(spark, sf_dir):
+    """All levels; ``bfs_levels`` stops at 6, as its SQL must to end on cycles."""
+    return graph.reach(part_edges(spark, sf_dir), part_roots(part_nodes(spark, sf_dir)))
+
+
+@query(None)
+def max_depth_by_source_whole(spark, sf_dir):
+    """The depth of each root's whole search; ``max_depth_by_source`` stops at 8, as its SQL must to end on cycles."""
+    return graph.depth_by_source(part_edges(spark, sf_dir), part_roots(part_nodes(spark, sf_dir)))
+
+
 @query(f"{_DEAD} SELECT (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM reach) AS reachable, (SELECT count(*) FROM dead) AS dead")
 def graph_stats(spark, sf_dir):
     nodes, edges = part_nodes(spark, sf_dir), part_edges(spark, sf_dir)
