@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodeline.llm.shared import labelled_sample, map_arrow, once, session, texts
+from lodeline.llm.shared import labelled_sample, labels_per_row, map_arrow, once, session, texts
 
 BITS = 18
-#: Labelled training rows of either class at most; a documented bound, the scores cover all rows.
+#: Labelled training rows of either class at most; a documented bound, the scores cover all rows. Beyond it rows weigh
+#: as many labels as they stand for.
 SAMPLE_PER_CLASS = 2_000
 EPOCHS = 3
 #: Probability from which a text is predicted good.
@@ -80,30 +81,35 @@ class Ftrl:
         z, n = self.bias
         return -z / ((self.beta + n**0.5) / self.alpha)
 
-    def learn(self, index: np.ndarray, value: np.ndarray, label: int) -> None:
+    def learn(self, index: np.ndarray, value: np.ndarray, label: int, weight: float = 1.0) -> None:
         w = self.weights(index)
         p = 1 / (1 + np.exp(-np.clip(w @ value + self.intercept(), -30, 30)))
-        g = (p - label) * value
+        g = weight * (p - label) * value
         sigma = (np.sqrt(self.n[index] + g * g) - np.sqrt(self.n[index])) / self.alpha
         self.z[index] += g - sigma * w
         self.n[index] += g * g
-        b, g = self.bias, float(p - label)
+        b, g = self.bias, float(weight * (p - label))
         self.bias = [b[0] + g - ((b[1] + g * g) ** 0.5 - b[1] ** 0.5) / self.alpha * self.intercept(), b[1] + g * g]
 
 
-def train(sample: list[tuple[bytes, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and intercept; an empty sample gives zeros, so every score is one half."""
+def train(sample: list[tuple[bytes, int]], epochs: int = EPOCHS, per_row: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
+    """Weights and intercept; an empty sample gives zeros, so every score is one half.
+
+    ``per_row``: how many labels a row of either class stands for; rows weigh 1 on average.
+    """
     model = Ftrl()
     rows = [(*features(t), y) for t, y in sample]
+    mean = sum(per_row[y] for _, y in sample) / max(1, len(sample))
     for _ in range(epochs):
         for index, value, y in rows:
-            model.learn(index, value, y)
+            model.learn(index, value, y, per_row[y] / mean)
     return model.weights().astype(np.float32), model.intercept()
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float]:
     session(docs)
-    return train(labelled_sample(docs, labels, "quality", per_class))
+    per_row = labels_per_row(labels, "quality", per_class)
+    return train(labelled_sample(docs, labels, "quality", per_class, per_row), per_row=per_row)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

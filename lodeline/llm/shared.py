@@ -85,19 +85,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(~in_training(doc_id), F.lit(False))
 
 
+def _training_labels(labels: DataFrame, target: str) -> DataFrame:
+    """(doc_id, label) of the training rows. Null labels are left out; of a doc_id with several labels the largest counts."""
+    return (
+        labels.select(F.col("doc_id").alias("doc_id"), F.col(target).cast("int").alias("label"))
+        .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id")))
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+    )
+
+
+def labels_per_row(labels: DataFrame, target: str, per_class: int) -> tuple[float, float]:
+    """How many training labels each row of ``labelled_rows`` stands for, by label: 1 up to ``per_class`` of them.
+
+    Weighted so, the sample has the classes' own ratio at every size.
+    """
+    counts = {r["label"]: r["count"] for r in _training_labels(labels, target).where("label in (0, 1)").groupBy("label").count().collect()}
+    return tuple(max(1.0, counts.get(x, 0) / per_class) for x in (0, 1))
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> DataFrame:
     """(rank, text, label): at most ``per_class`` training texts of either label, chosen by a hash of doc_id, so the same ones in each run.
 
     The choice is made among the labels, which are narrow; only the chosen ids, a bounded number, are joined
     with the texts. Rows with a null label or text are left out. Of a doc_id with several labels the largest counts.
     """
-    known = (
-        labels.select(F.col("doc_id").alias("doc_id"), F.col(target).cast("int").alias("label"))
-        .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max("label").alias("label"))
-        .withColumn("rank", F.md5(F.col("doc_id").cast("string").cast("binary")))
-    )
+    known = _training_labels(labels, target).withColumn("rank", F.md5(F.col("doc_id").cast("string").cast("binary")))
     chosen = [known.where(F.col("label") == x).orderBy("rank").limit(per_class) for x in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows at most
     return (
@@ -110,10 +123,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, per_class: in
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> list[tuple[bytes, int]]:
-    """The texts and labels of ``labelled_rows``, in the order of their rank."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, per_row: tuple[float, float]) -> list[tuple[bytes, int]]:
+    """The texts and labels of ``labelled_rows``, in the order of their rank, stretched by ``per_row`` so that a class
+    cut by the bound, whose ranks are all low, is spread over the whole sample."""
     rows = labelled_rows(docs, labels, target, per_class).collect()
-    return [(r["text"].encode("utf-8", "surrogatepass"), r["label"]) for r in sorted(rows, key=lambda r: r["rank"])]
+    place = lambda r: (int(r["rank"][:13], 16) * per_row[r["label"]], r["rank"])
+    return [(r["text"].encode("utf-8", "surrogatepass"), r["label"]) for r in sorted(rows, key=place)]
 
 
 _ON_WORKER: dict = {}

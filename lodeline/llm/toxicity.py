@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodeline.llm.shared import labelled_rows, map_arrow, once, session, texts
+from lodeline.llm.shared import labelled_rows, labels_per_row, map_arrow, once, session, texts
 
 BITS = 18
-#: Labelled training rows of either class at most; a documented bound, the scores cover all rows.
+#: Labelled training rows of either class at most; a documented bound, the scores cover all rows. Beyond it rows weigh
+#: as many labels as they stand for.
 SAMPLE_PER_CLASS = 4_000
 #: Features seen in fewer training texts, or whose log odds between the classes are within so many standard errors of
 #: naught, are left out: a long text holds thousands of words that tell nothing, and must gather no noise from them.
@@ -105,9 +106,10 @@ def train(sample: list[tuple[bytes, int]], **settings) -> tuple[np.ndarray, floa
     return train_features([(*_pair(t), y) for t, y in sample], **settings)
 
 
-def train_features(rows: list[tuple[np.ndarray, np.ndarray | None, int]], penalty: float = PENALTY, epochs: int = EPOCHS, least: int = LEAST_TEXTS, errors: float = LEAST_ERRORS, l1: float = 1e-4) -> tuple[np.ndarray, float]:
+def train_features(rows: list[tuple[np.ndarray, np.ndarray | None, int]], penalty: float = PENALTY, epochs: int = EPOCHS, least: int = LEAST_TEXTS, errors: float = LEAST_ERRORS, l1: float = 1e-4, per_row: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """Weights and intercept from (features, counterfactual's features, label); no rows give zeros, so every score is one half.
 
+    ``per_row``: how many labels a row of either class stands for.
     Full-batch proximal AdaGrad with L1 over the features that tell the classes apart.
     """
     size = 1 << BITS
@@ -129,12 +131,13 @@ def train_features(rows: list[tuple[np.ndarray, np.ndarray | None, int]], penalt
     x, y = _Rows([keep(own) for own, _, _ in rows]), np.array([label for _, _, label in rows], dtype=np.float64)
     pairs = [(i, other) for i, (_, other, _) in enumerate(rows) if other is not None]
     of, swapped = np.array([i for i, _ in pairs], dtype=np.int64), _Rows([keep(other) for _, other in pairs])
-    share = 1 / len(y)
+    share = np.array(per_row)[y.astype(np.int64)]
+    share /= share.sum()
     w, b, sq, sq_b = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(epochs):
         z = x.dot(w) + b
         g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        pull = 2 * penalty * share * (z[of] - swapped.dot(w) - b)
+        pull = 2 * penalty * share[of] * (z[of] - swapped.dot(w) - b)
         np.add.at(g_pair := np.zeros_like(g), of, pull)
         grad = x.back(g + g_pair, size) - swapped.back(pull, size)
         sq += grad * grad
@@ -157,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
 
     packed = map_arrow(labelled_rows(docs, labels, "toxic", per_class), each, "rank string, label int, own binary, other binary")
     read = lambda f: None if f is None else np.frombuffer(f, np.int32)
-    return train_features([(read(r["own"]), read(r["other"]), r["label"]) for r in sorted(packed.collect(), key=lambda r: r["rank"])])
+    return train_features([(read(r["own"]), read(r["other"]), r["label"]) for r in sorted(packed.collect(), key=lambda r: r["rank"])], per_row=labels_per_row(labels, "toxic", per_class))
 
 
 def _score(text: bytes, model: tuple[np.ndarray, float]) -> float:

@@ -1,0 +1,24 @@
+"""Whole jobs of the ten operators where a bound or a key once cut them."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from lodeline.llm import quality, toxicity
+
+
+@pytest.mark.parametrize(("operator", "target"), [(quality, "quality"), (toxicity, "toxic")])
+def test_bound_keeps_the_class_ratio(spark, operator, target):
+    """One label in ten is 1 and texts tell nothing, so every score is near a tenth, within the bound and beyond it."""
+    r = random.Random(3)
+    table = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 400)}" for _ in range(12))) for i in range(3_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(r.random() < 0.1)) for i in range(3_000)], f"doc_id bigint, {target} int")
+    mean = {}
+    for bound in (10_000, 150):
+        model = operator.fit(table, labels, bound)
+        scores = {x["doc_id"]: x["score"] for x in operator.score(table, model).collect()}
+        mean[bound] = np.mean([s for i, s in scores.items() if zlib.crc32(str(i).encode()) % 4 == 2])
+    assert mean[10_000] == pytest.approx(0.1, abs=0.05)
+    assert mean[150] == pytest.approx(mean[10_000], abs=0.08)
