@@ -224,6 +224,20 @@ def name_call_edges(spark, sf_dir):
     return edges.join(callers.select("src").distinct(), "src", "left_semi").select("src", "dst")
 
 
+@query("""SELECT DISTINCT 'o' || a.o_orderkey AS src, 'p' || p_partkey AS dst FROM orders a JOIN orders b USING (o_custkey) JOIN lineitem ON l_orderkey = b.o_orderkey JOIN part ON p_partkey = l_partkey""")
+def name_call_edges_whole(spark, sf_dir):
+    """A file for each customer declares the customer's orders and calls all parts of their lines by key; every part and every call takes part.
+
+    ``name_call_edges`` keeps small callers and large parts' calls only: 64 names over 25 files give too many edges for more.
+    """
+    orders, lines, parts = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+    named = lambda letter, key: F.concat(F.lit(letter), key)
+    declared = orders.select(named("c", "o_custkey").alias("file"), named("o", "o_orderkey").alias("name"), named("o", "o_orderkey").alias("path"))
+    declared = declared.unionByName(parts.select(named("p", "p_partkey").alias("file"), named("p", "p_partkey").alias("name"), named("p", "p_partkey").alias("path")))
+    calls = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(named("c", "o_custkey").alias("file"), named("p", "l_partkey").alias("name"))
+    return resolve.name_edges(declared, calls)
+
+
 _HOSTS = "hosts AS (SELECT DISTINCT split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages)"
 _SUFFIX = "idx AS (SELECT DISTINCT host, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS suffix FROM hosts, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(i))"
 

@@ -37,3 +37,13 @@ def test_levels_have_no_cap(spark, tmp_path, seed):
     assert got == bfs(edges, [0, 1, 2]) and max(got.values()) > 8
     got = {r["source"]: r["depth"] for r in catalog.QUERIES["max_depth_by_source_whole"](spark, sf_dir).collect()}
     assert got == {s: max(bfs(edges, [s]).values()) for s in (0, 1, 2)} and got[0] == 30
+
+
+def test_every_call_of_every_part_is_an_edge(spark, tmp_path):
+    r = random.Random(2)
+    lines = [(o, r.randrange(30)) for o in range(25) for _ in range(3)]
+    pd.DataFrame(lines, columns=["l_orderkey", "l_partkey"]).to_parquet(tmp_path / "lineitem.parquet")
+    pd.DataFrame({"o_orderkey": range(25), "o_custkey": [o // 3 for o in range(25)]}).to_parquet(tmp_path / "orders.parquet")
+    pd.DataFrame({"p_partkey": range(30), "p_size": [1 + i for i in range(30)]}).to_parquet(tmp_path / "part.parquet")
+    got = {(x["src"], x["dst"]) for x in catalog.QUERIES["name_call_edges_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(f"o{a}", f"p{p}") for a in range(25) for o, p in lines if a // 3 == o // 3}
