@@ -461,3 +461,15 @@ def rust_dead_functions(spark, sf_dir):
     called = table(spark, sf_dir, "lineitem").where("l_quantity = 1").select("l_partkey").distinct()
     calls = called.select(F.concat(F.lit("src/c"), "l_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("pub fn c"), "l_partkey", F.lit("() { f"), "l_partkey", F.lit("() }")).alias("content"))
     return detectors.dead_functions(extract(parts.unionByName(calls))).dead.select("full_path")
+
+
+@query("""SELECT 'f' || p_partkey AS full_path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 1)""")
+def rust_dead_functions_whole(spark, sf_dir):
+    """As ``rust_dead_functions``, with a private function for every part.
+
+    Only lines of single pieces are calls: every part is on some line, so with all lines as calls no function were dead.
+    """
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), "p_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("fn f"), "p_partkey", F.lit("() {}")).alias("content"))
+    called = table(spark, sf_dir, "lineitem").where("l_quantity = 1").select("l_partkey").distinct()
+    calls = called.select(F.concat(F.lit("src/c"), "l_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("pub fn c"), "l_partkey", F.lit("() { f"), "l_partkey", F.lit("() }")).alias("content"))
+    return detectors.dead_functions(extract(parts.unionByName(calls))).dead.select("full_path")
