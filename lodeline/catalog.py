@@ -35,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _TIES = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that follow each other in an order, from lines of 48 pieces or more."""
+def part_edges(spark: SparkSession, sf_dir: str, rule: str = "l_quantity >= 48") -> DataFrame:
+    """Parts that follow each other in an order, from lines of 48 pieces or more: with all lines every part is reached and none is dead.
+
+    The queries named ``_whole`` that only build, count, number or print edges take those of all lines.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *_TIES)
     w = Window.partitionBy("l_orderkey").orderBy(*_TIES)
-    pairs = lines.withColumn("dst", F.lead("l_partkey").over(w)).where("l_quantity >= 48 and dst is not null and dst <> l_partkey")
+    pairs = lines.withColumn("dst", F.lead("l_partkey").over(w)).where(f"{rule} and dst is not null and dst <> l_partkey")
     return pairs.select(F.col("l_partkey").alias("src"), "dst").distinct()
 
 
@@ -55,6 +58,10 @@ _EDGES = """edges AS (SELECT DISTINCT l_partkey AS src, nxt AS dst FROM (
   SELECT l_partkey, l_quantity, lead(l_partkey) OVER (PARTITION BY l_orderkey
     ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nxt FROM lineitem)
   WHERE nxt IS NOT NULL AND nxt <> l_partkey AND l_quantity >= 48)"""
+_ALL_EDGES = """edges AS (SELECT DISTINCT l_partkey AS src, nxt AS dst FROM (
+  SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nxt FROM lineitem)
+  WHERE nxt IS NOT NULL AND nxt <> l_partkey)"""
 _REACH = f"WITH RECURSIVE {_EDGES}, reach(n) AS (SELECT p_partkey FROM part WHERE p_partkey < 3 UNION SELECT dst FROM edges JOIN reach ON src = n)"
 _DEAD = f"{_REACH}, dead AS (SELECT p_partkey AS n FROM part WHERE p_partkey NOT IN (SELECT n FROM reach))"
 
@@ -64,6 +71,11 @@ def module_edges(spark, sf_dir):
     return graph.build_edges(part_edges(spark, sf_dir), part_nodes(spark, sf_dir), "src", "dst", "id")
 
 
+@query(f"WITH {_ALL_EDGES} SELECT src, dst FROM edges")
+def module_edges_whole(spark, sf_dir):
+    return graph.build_edges(part_edges(spark, sf_dir, "true"), part_nodes(spark, sf_dir), "src", "dst", "id")
+
+
 @query(f"{_REACH} SELECT n AS id FROM reach")
 def reachable_nodes(spark, sf_dir):
     nodes = part_nodes(spark, sf_dir)
@@ -120,6 +132,11 @@ def degrees(spark, sf_dir):
     return graph.degrees(part_nodes(spark, sf_dir), part_edges(spark, sf_dir))
 
 
+@query(f"WITH {_ALL_EDGES}, i AS (SELECT dst AS n, count(*) AS c FROM edges GROUP BY dst), o AS (SELECT src AS n, count(*) AS c FROM edges GROUP BY src) SELECT p_partkey AS id, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree FROM part LEFT JOIN i ON i.n = p_partkey LEFT JOIN o ON o.n = p_partkey")
+def degrees_whole(spark, sf_dir):
+    return graph.degrees(part_nodes(spark, sf_dir), part_edges(spark, sf_dir, "true"))
+
+
 @query(f"""{_DEAD}, o AS (SELECT src AS n, count(*) AS c, count(dead.n) AS x FROM edges LEFT JOIN dead ON dead.n = dst GROUP BY src),
 i AS (SELECT dst AS n, count(*) AS c, count(dead.n) AS x FROM edges LEFT JOIN dead ON dead.n = src GROUP BY dst)
 SELECT p_partkey AS id, coalesce(o.c, 0) AS deps, coalesce(o.x, 0) AS dead_deps, coalesce(i.c, 0) AS dependents, coalesce(i.x, 0) AS dead_dependents
@@ -134,6 +151,11 @@ def reverse_adjacency(spark, sf_dir):
     return graph.callers(part_edges(spark, sf_dir))
 
 
+@query(f"WITH {_ALL_EDGES} SELECT dst AS id, count(*) AS callers, min(src) AS first_caller FROM edges GROUP BY dst")
+def reverse_adjacency_whole(spark, sf_dir):
+    return graph.callers(part_edges(spark, sf_dir, "true"))
+
+
 @query("SELECT user_id AS id, count(*) AS \"references\" FROM events GROUP BY user_id")
 def inbound_counts(spark, sf_dir):
     return graph.reference_counts(table(spark, sf_dir, "events"), "user_id")
@@ -153,6 +175,11 @@ def edges_numeric(spark, sf_dir):
     return graph.numeric_edges(part_edges(spark, sf_dir), numbered)
 
 
+@query(f"WITH {_ALL_EDGES}, {_NUMBERED} SELECT a.number AS src, b.number AS dst FROM edges JOIN ids a ON a.p_partkey = src JOIN ids b ON b.p_partkey = dst")
+def edges_numeric_whole(spark, sf_dir):
+    return graph.numeric_edges(part_edges(spark, sf_dir, "true"), graph.numeric_ids(part_nodes(spark, sf_dir)))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def unused_declared(spark, sf_dir):
     return liveness.dead(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), {"o_orderkey": "l_orderkey"}).select("o_orderkey")
@@ -392,6 +419,11 @@ def dot_lines(spark, sf_dir):
     return export.edge_lines(part_edges(spark, sf_dir))
 
 
+@query(f"""WITH {_ALL_EDGES} SELECT '"' || src || '" -> "' || dst || '";' AS line FROM edges""")
+def dot_lines_whole(spark, sf_dir):
+    return export.edge_lines(part_edges(spark, sf_dir, "true"))
+
+
 @query("SELECT '\"' || p_partkey || '\" [label=\"' || p_partkey || '\", style=filled, fillcolor=' || CASE WHEN p_size > 25 THEN 'lightcoral' ELSE 'lightgreen' END || '];' AS line FROM part")
 def dot_nodes(spark, sf_dir):
     return export.node_lines(part_nodes(spark, sf_dir).withColumn("dead", F.col("p_size") > 25))

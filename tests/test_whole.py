@@ -54,3 +54,11 @@ def test_every_part_is_judged(spark, tmp_path):
     pd.DataFrame({"l_partkey": [3, 20, 25, 4], "l_quantity": [1.0, 1.0, 1.0, 2.0]}).to_parquet(tmp_path / "lineitem.parquet")
     got = {x["full_path"] for x in catalog.QUERIES["rust_dead_functions_whole"](spark, str(tmp_path)).collect()}
     assert got == {f"f{i}" for i in range(30)} - {"f3", "f20", "f25"}
+
+
+def test_edges_of_all_lines(spark, tmp_path):
+    sf_dir, edges = tables(tmp_path, [[0, 3, 4], [4, 4, 1]], 6)
+    frame = pd.read_parquet(tmp_path / "lineitem.parquet")
+    frame.assign(l_quantity=1.0).to_parquet(tmp_path / "lineitem.parquet")
+    got = {tuple(x) for x in catalog.QUERIES["module_edges_whole"](spark, sf_dir).select("src", "dst").collect()}
+    assert got == edges == {(0, 3), (3, 4), (4, 1)} and catalog.QUERIES["module_edges"](spark, sf_dir).count() == 0
