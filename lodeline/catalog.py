@@ -366,6 +366,19 @@ def snapshot_diff(spark, sf_dir):
     return snapshot.diff(new, old, "doc_id")
 
 
+@query("""WITH old AS (SELECT doc_id, sha256(CASE WHEN lang = 'fr' THEN text || '!' ELSE text END) AS h FROM documents WHERE source <> 'src0'),
+cur AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE source <> 'src1')
+SELECT coalesce(cur.doc_id, old.doc_id) AS doc_id, CASE WHEN old.h IS NULL THEN 'new' WHEN cur.h IS NULL THEN 'removed' WHEN cur.h = old.h THEN 'hit' ELSE 'changed' END AS state
+FROM cur FULL JOIN old ON cur.doc_id = old.doc_id""")
+def snapshot_diff_whole(spark, sf_dir):
+    """All documents: one source is new, one is removed, one language was edited; the others are hits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    edited = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    old = docs.where("source <> 'src0'").select("doc_id", snapshot.content_hash(edited).alias("hash"))
+    new = docs.where("source <> 'src1'").select("doc_id", snapshot.content_hash(F.col("text")).alias("hash"))
+    return snapshot.diff(new, old, "doc_id")
+
+
 @query(f"""WITH RECURSIVE {_EDGES}, typed AS (SELECT a.p_type || '::' || src AS src, b.p_type || '::' || dst AS dst FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_type = b.p_type),
 reach(n) AS (SELECT p_type || '::' || p_partkey FROM part WHERE p_partkey < 60 UNION SELECT dst FROM typed JOIN reach ON src = n)
 SELECT p_type, count(*) AS declared, count(*) FILTER (p_type || '::' || p_partkey NOT IN (SELECT n FROM reach)) AS dead, count(*) FILTER (p_type || '::' || p_partkey IN (SELECT n FROM reach)) AS live FROM part GROUP BY p_type""")

@@ -62,3 +62,10 @@ def test_edges_of_all_lines(spark, tmp_path):
     frame.assign(l_quantity=1.0).to_parquet(tmp_path / "lineitem.parquet")
     got = {tuple(x) for x in catalog.QUERIES["module_edges_whole"](spark, sf_dir).select("src", "dst").collect()}
     assert got == edges == {(0, 3), (3, 4), (4, 1)} and catalog.QUERIES["module_edges"](spark, sf_dir).count() == 0
+
+
+def test_snapshots_have_every_document(spark, tmp_path):
+    rows = [(i, f"text {i}", ("en", "fr")[i // 4 % 2], f"src{i % 4}") for i in range(42)]
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).to_parquet(tmp_path / "documents.parquet")
+    got = {x["doc_id"]: x["state"] for x in catalog.QUERIES["snapshot_diff_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: {"src0": "new", "src1": "removed"}.get(s, "changed" if lang == "fr" else "hit") for i, _, lang, s in rows}
