@@ -219,8 +219,14 @@ def _shared_anchors(docs: DataFrame, hot: int) -> tuple[DataFrame, np.ndarray]:
     return found.where("doc_id is not null"), np.concatenate([np.zeros(0, np.uint64), *hottest])
 
 
+def _digest(text: bytes) -> int:
+    """Tells apart the texts of rows that share a doc_id; signed."""
+    digest = xxhash.xxh64_intdigest(text)
+    return digest - 2**64 if digest >= 2**63 else digest
+
+
 def _passages(batches, hottest: np.ndarray):
-    """Texts and their shared anchors to passages: (route, anchor, doc_id, starts, passage), or (route, .., doc_id, spans) where a copy in this task has settled all.
+    """Texts and their shared anchors to passages: (route, anchor, doc_id, digest, starts, passage), or (route, .., doc_id, digest, spans) where a copy in this task has settled all.
 
     Of equal passages in a task only the first document's goes on; it alone may be the corpus' first.
     """
@@ -229,7 +235,7 @@ def _passages(batches, hottest: np.ndarray):
         for doc, text, anchors in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), batch["anchors"].to_pylist(), strict=True):
             if not anchors:
                 continue
-            words = text.split()
+            words, digest = text.split(), _digest(text)
             h, first, count = runs(words)
             shared = np.isin(h, np.frombuffer(b"".join(anchors), np.uint64))
             split = np.isin(h, hottest)
@@ -239,27 +245,29 @@ def _passages(batches, hottest: np.ndarray):
                 for at, m in pieces:
                     passage = b" ".join(words[at : at + m + LENGTH - 1])
                     key = anchor if not split[k] else xxhash.xxh64_intdigest(passage)
-                    held.setdefault((key, passage), []).append((doc, at))
+                    held.setdefault((key, passage), []).append((doc, digest, at))
     settled: dict = {}
     rows = []
 
     def batch_of(rows):
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], _PASSAGE)
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], _PASSAGE)
 
     for (key, passage), where in held.items():
         least = min(where)[0]
         n = passage.count(b" ") + 2 - LENGTH
-        starts = np.array([at for doc, at in where if doc == least], dtype=np.int32).tobytes()
         signed = key - 2**64 if key >= 2**63 else key
-        rows.append((signed, signed, least, starts, passage, None))
-        for doc, at in where:
+        of: dict = {}
+        for doc, digest, at in where:
             if doc > least:
-                settled.setdefault(doc, []).extend(range(at, at + n))
+                settled.setdefault((doc, digest), []).extend(range(at, at + n))
+            else:
+                of.setdefault(digest, []).append(at)
+        rows += [(signed, signed, least, digest, np.array(starts, dtype=np.int32).tobytes(), passage, None) for digest, starts in of.items()]
         if len(rows) >= 5_000:
             yield batch_of(rows)
             rows = []
-    for doc, starts in settled.items():
-        rows.append((doc * 2_654_435_761 % 2**61, 0, doc, None, None, _spans(sorted(set(starts)))))
+    for (doc, digest), starts in settled.items():
+        rows.append((doc * 2_654_435_761 % 2**61, 0, doc, digest, None, None, _spans(sorted(set(starts)))))
         if len(rows) >= 5_000:
             yield batch_of(rows)
             rows = []
@@ -267,7 +275,7 @@ def _passages(batches, hottest: np.ndarray):
         yield batch_of(rows)
 
 
-_PASSAGE = ["route", "anchor", "doc_id", "starts", "passage", "spans"]
+_PASSAGE = ["route", "anchor", "doc_id", "digest", "starts", "passage", "spans"]
 
 
 def _repeated(passages: list[bytes], least: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
@@ -299,24 +307,24 @@ def _resolve(batches):
     groups: dict = {}
     out: dict = {}
     for batch in batches:
-        for anchor, doc, starts, passage, spans in zip(*(batch[c].to_pylist() for c in _PASSAGE[1:]), strict=True):
+        for anchor, doc, digest, starts, passage, spans in zip(*(batch[c].to_pylist() for c in _PASSAGE[1:]), strict=True):
             if passage is None:
-                out.setdefault(doc, []).append(spans)
+                out.setdefault((doc, digest), []).append(spans)
             else:
-                groups.setdefault(anchor, {}).setdefault(passage, []).append((doc, np.frombuffer(starts, np.int32).tolist()))
+                groups.setdefault(anchor, {}).setdefault(passage, []).append((doc, digest, np.frombuffer(starts, np.int32).tolist()))
     windows: dict = {}
     while groups:
         _, group = groups.popitem()
         least = {p: min(where)[0] for p, where in group.items()}
         for p, found in _repeated(list(group), least).items():
-            for doc, starts in group[p]:
+            for doc, digest, starts in group[p]:
                 if later := [i for i, first in found if first < doc]:
-                    windows.setdefault(doc, []).extend(at + i for at in starts for i in later)
-    for doc, starts in windows.items():
-        out.setdefault(doc, []).append(_spans(sorted(set(starts))))
+                    windows.setdefault((doc, digest), []).extend(at + i for at in starts for i in later)
+    for row, starts in windows.items():
+        out.setdefault(row, []).append(_spans(sorted(set(starts))))
     buckets: dict = {}
-    for doc in out:
-        buckets.setdefault(doc * 2_654_435_761 % 2**61 % DEALS, []).append(doc)
+    for row in out:
+        buckets.setdefault(row[0] * 2_654_435_761 % 2**61 % DEALS, []).append(row)
     keys = list(buckets)
     for at in range(0, len(keys), 1_000):
         some = keys[at : at + 1_000]
@@ -324,7 +332,8 @@ def _resolve(batches):
         yield pa.record_batch(
             [
                 pa.array(some, pa.int32()),
-                pa.array([np.array(buckets[k], np.int64).tobytes() for k in some], pa.binary()),
+                pa.array([np.array([d for d, _ in buckets[k]], np.int64).tobytes() for k in some], pa.binary()),
+                pa.array([np.array([x for _, x in buckets[k]], np.int64).tobytes() for k in some], pa.binary()),
                 pa.array([np.array([len(x) for x in j], np.int64).tobytes() for j in joined], pa.binary()),
                 pa.array([b"".join(j) for j in joined], pa.binary()),
             ],
@@ -332,25 +341,43 @@ def _resolve(batches):
         )
 
 
-_PACKED = ["bucket", "docs", "sizes", "spans"]
+_PACKED = ["bucket", "docs", "digests", "sizes", "spans"]
 
 
 def _unpack(batches):
-    """Buckets of documents to (doc_id, spans), one row for each document."""
+    """Buckets of documents to (doc_id, digests, sizes, spans), one row for each doc_id: its texts' digests, and of each the bytes of its spans."""
     out: dict = {}
     for batch in batches:
-        for docs, sizes, spans in zip(*(batch[c].to_pylist() for c in _PACKED[1:]), strict=True):
+        for docs, digests, sizes, spans in zip(*(batch[c].to_pylist() for c in _PACKED[1:]), strict=True):
             ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
-            for doc, a, b in zip(np.frombuffer(docs, np.int64).tolist(), [0, *ends], ends, strict=False):
-                out.setdefault(doc, []).append(spans[a:b])
+            for doc, digest, a, b in zip(np.frombuffer(docs, np.int64).tolist(), np.frombuffer(digests, np.int64).tolist(), [0, *ends], ends, strict=False):
+                out.setdefault(doc, {}).setdefault(digest, []).append(spans[a:b])
     docs = list(out)
     for at in range(0, len(docs), 5_000):
         some = docs[at : at + 5_000]
-        yield pa.record_batch([pa.array(some, pa.int64()), pa.array([b"".join(out[d]) for d in some], pa.binary())], ["doc_id", "spans"])
+        joined = [[b"".join(x) for x in out[d].values()] for d in some]
+        yield pa.record_batch(
+            [
+                pa.array(some, pa.int64()),
+                pa.array([np.array(list(out[d]), np.int64).tobytes() for d in some], pa.binary()),
+                pa.array([np.array([len(x) for x in j], np.int64).tobytes() for j in joined], pa.binary()),
+                pa.array([b"".join(j) for j in joined], pa.binary()),
+            ],
+            ["doc_id", "digests", "sizes", "spans"],
+        )
+
+
+def _own_spans(text: bytes, digests: bytes, sizes: bytes, spans: bytes) -> bytes:
+    """The spans of this text among those of its doc_id."""
+    at = np.flatnonzero(np.frombuffer(digests, np.int64) == _digest(text))
+    if not len(at):
+        return b""
+    end = np.cumsum(np.frombuffer(sizes, np.int64))[at[0]]
+    return spans[end - np.frombuffer(sizes, np.int64)[at[0]] : end]
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): pairs of 32-bit word numbers, start and end, of what is removed; spans may overlap."""
+    """(doc_id, digests, sizes, spans): of each text of a doc_id pairs of 32-bit word numbers, start and end, of what is removed; spans may overlap."""
     session(docs)
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found, hottest = _shared_anchors(chosen, max(HOT, chosen.count() // HOT_SHARE))
@@ -361,16 +388,16 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         return _passages(batches, shared.value)
 
     # A left join, as in ``deduplicate``, so that both read the texts from one exchange.
-    joined = chosen.join(anchors, "doc_id", "left").mapInArrow(passages, "route bigint, anchor bigint, doc_id bigint, starts binary, passage binary, spans binary")
-    packed = joined.repartition("route").mapInArrow(_resolve, "bucket int, docs binary, sizes binary, spans binary")
-    return packed.repartition("bucket").mapInArrow(_unpack, "doc_id bigint, spans binary")
+    joined = chosen.join(anchors, "doc_id", "left").mapInArrow(passages, "route bigint, anchor bigint, doc_id bigint, digest bigint, starts binary, passage binary, spans binary")
+    packed = joined.repartition("route").mapInArrow(_resolve, "bucket int, docs binary, digests binary, sizes binary, spans binary")
+    return packed.repartition("bucket").mapInArrow(_unpack, "doc_id bigint, digests binary, sizes binary, spans binary")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, kept (the kept words joined by one space), n_words, n_removed, kept_sha256.
 
     Words are cut at ASCII blanks, a null or empty text has none. Rows with the same doc_id don't remove words
-    of each other and lose alike. A row whose doc_id is null comes before or after none: it is kept whole and
+    of each other; each loses what its own text repeats, so equal rows lose alike. A row whose doc_id is null comes before or after none: it is kept whole and
     removes nothing. An empty table gives an empty result; other columns are not read.
     """
     spans = removed_spans(docs)
@@ -378,10 +405,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, total, gone = [], [], []
-        for text, spans in zip(texts(batch["text"]), batch["spans"].to_pylist(), strict=True):
+        for text, *known in zip(texts(batch["text"]), *(batch[c].to_pylist() for c in ("digests", "sizes", "spans")), strict=True):
             words = text.split()
             total.append(len(words))
-            if spans:
+            if known[0] and (spans := _own_spans(text, *known)):
                 edge = np.zeros(len(words) + 1, np.int32)
                 pairs = np.frombuffer(spans, np.int32).reshape(-1, 2)
                 np.add.at(edge, pairs[:, 0], 1)

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodeline.llm import quality, toxicity
+from lodeline.llm import quality, substring_dedup, toxicity
 
 
 @pytest.mark.parametrize(("operator", "target"), [(quality, "quality"), (toxicity, "toxic")])
@@ -22,3 +22,16 @@ def test_bound_keeps_the_class_ratio(spark, operator, target):
         mean[bound] = np.mean([s for i, s in scores.items() if zlib.crc32(str(i).encode()) % 4 == 2])
     assert mean[10_000] == pytest.approx(0.1, abs=0.05)
     assert mean[150] == pytest.approx(mean[10_000], abs=0.08)
+
+
+@pytest.mark.parametrize("hot", [200, 1])
+def test_spans_go_to_their_own_text(spark, monkeypatch, hot):
+    """Two texts of different length under one id, the longer with a repeat beyond the shorter's end."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 1_000_000)
+    passage = " ".join(f"p{i}" for i in range(20))
+    long = " ".join(f"a{i}" for i in range(60)) + " " + passage
+    short, front = " ".join(f"b{i}" for i in range(30)), passage + " " + " ".join(f"c{i}" for i in range(9))
+    rows = spark.createDataFrame([(1, passage), (7, long), (7, short), (7, front), (9, short)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"][:3]) for r in substring_dedup.deduplicate(rows).collect())
+    assert got == [(1, 20, 0, "p0 "), (7, 29, 20, "c0 "), (7, 30, 0, "b0 "), (7, 80, 20, "a0 "), (9, 30, 30, "")]
