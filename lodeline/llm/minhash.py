@@ -230,7 +230,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _blocks(count: Column) -> Column:
-    return F.ceil(count / BLOCK).cast("int")
+    return F.ceil(count / BLOCK).cast("bigint")
+
+
+def _pairs(doc_id: Column, count: Column) -> Column:
+    """Numbers of the pairs of blocks, of a bucket of ``count`` members, in which a member's own block is; a member is copied once for each."""
+    own = F.pmod(F.xxhash64(doc_id), _blocks(count))
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), _blocks(count) - 1), lambda j: F.least(own, j) * 2**31 + F.greatest(own, j))
 
 
 def near_classes(docs: DataFrame, weigh: str = "presence") -> DataFrame:
@@ -251,9 +257,7 @@ def near_classes(docs: DataFrame, weigh: str = "presence") -> DataFrame:
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), print_of.alias("same"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1")
     # Bands that gather the same documents compare them once.
     buckets = buckets.groupBy("n", "same", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n")
-    blocks, own = _blocks(F.col("n")), F.pmod(F.xxhash64("doc_id"), _blocks(F.col("n"))).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * 1_000_000 + F.greatest(own, j))
-    members = materialise(keyed.join(buckets, "key").select("key", "doc_id", "digest", F.explode(pairs).alias("pair")))
+    members = materialise(keyed.join(buckets, "key").select("key", "doc_id", "digest", F.explode(_pairs(F.col("doc_id"), F.col("n"))).alias("pair")))
     wanted = members.select("doc_id", "digest").distinct()
     bodies = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
     bodies = with_ids(bodies, wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])

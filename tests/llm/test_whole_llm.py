@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodeline.llm import quality, substring_dedup, toxicity
+from lodeline.llm import minhash, quality, substring_dedup, toxicity
 
 
 @pytest.mark.parametrize(("operator", "target"), [(quality, "quality"), (toxicity, "toxic")])
@@ -35,3 +36,10 @@ def test_spans_go_to_their_own_text(spark, monkeypatch, hot):
     rows = spark.createDataFrame([(1, passage), (7, long), (7, short), (7, front), (9, short)], "doc_id bigint, text string")
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"][:3]) for r in substring_dedup.deduplicate(rows).collect())
     assert got == [(1, 20, 0, "p0 "), (7, 29, 20, "c0 "), (7, 30, 0, "b0 "), (7, 80, 20, "a0 "), (9, 30, 30, "")]
+
+
+def test_pairs_of_very_many_blocks(spark):
+    """A bucket of 3 000 blocks: each pair of blocks has a number of its own, and two members meet in one."""
+    rows = spark.range(20).select(minhash._pairs(F.col("id"), F.lit(3_000 * minhash.BLOCK)).alias("pairs")).collect()
+    sets = [set(r["pairs"]) for r in rows]
+    assert {len(s) for s in sets} == {3_000} and all(len(a & b) == 1 for i, a in enumerate(sets) for b in sets[:i] if a != b)
