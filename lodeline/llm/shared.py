@@ -2,43 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII blanks; ``bytes.split()`` cuts at exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
-
-#: Rows of an Arrow batch; a batch holds whole texts, so it must stay small.
-BATCH_ROWS = 512
+from lodeline.operators.shipping import ship
+from lodeline.operators.tables import materialise, shared_folder
 
+__all__ = ["WORD", "held_out", "in_training", "labelled_rows", "labelled_sample", "labels_per_row", "map_arrow", "materialise", "once", "place_among", "session", "shared_folder", "ship", "split_points", "texts"]
 
-_SHIPPED: set[str] = set()
-
+#: ASCII blanks; ``bytes.split()`` cuts at exactly these.
+WORD = r"[^\x20\x09-\x0D]+"
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, which needn't have it on their path."""
-    if (app := spark.sparkContext.applicationId) not in _SHIPPED:
-        _SHIPPED.add(app)
-        root = Path(__file__).resolve().parents[2]
-        file = Path(tempfile.mkdtemp(prefix="lodeline-"), "lodeline.zip")
-        with zipfile.ZipFile(file, "w") as out:
-            for p in sorted(root.joinpath("lodeline").rglob("*.py")):
-                out.write(p, p.relative_to(root))
-        spark.sparkContext.addPyFile(str(file))
+#: Rows and bytes of an Arrow batch; a batch holds whole texts, so it must stay small.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
-    spark = df.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    """The session, with this package on its executors."""
+    ship(df.sparkSession)
+    return df.sparkSession
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -46,34 +31,57 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has BATCH_ROWS rows and about BATCH_BYTES at most, or one row."""
+    for batch in batches:
+        rows = min(BATCH_ROWS, max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """``df`` batch by batch through ``each``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+        for batch in small_batches(batches):
+            yield each(batch)
 
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = "file://" + tempfile.mkdtemp(prefix="lodeline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/lodeline/{spark.sparkContext.applicationId}"
+#: Stretches that a key is cut into at most, and sampled keys for each.
+STRETCHES, SAMPLED = 131_072, 4
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder; it goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+def split_points(keys: DataFrame, rows: int, per: int) -> list[tuple]:
+    """Sorted, different rows of ``keys`` (bigint columns; ``rows`` rows) that cut it into stretches of about ``per`` rows.
+
+    They are quantiles of a sample, SAMPLED keys for each of STRETCHES stretches at most, so that neither stray nor
+    crowded keys make a stretch larger than the keys' own repeats do.
+    """
+    count = min(STRETCHES, rows // per)
+    if count < 2:
+        return []
+    share = min(1.0, count * SAMPLED / rows)
+    sample = keys if share == 1.0 else keys.sample(fraction=share, seed=5)
+    found = sorted(tuple(r) for r in sample.dropna().collect())
+    return sorted({found[len(found) * i // count] for i in range(1, count)}) if found else []
+
+
+def place_among(keys: list[Column], points: list[tuple]) -> Column:
+    """How many of the sorted points are at most the key: a binary search in literals. Of a null key that compares with none it is 0."""
+    if not points:
+        return F.lit(0)
+    parts = [F.split(F.lit(",".join(map(str, part))), ",").cast("array<bigint>") for part in zip(*points, strict=True)]  # folded to literals
+
+    def reached(at: Column) -> Column:
+        out = F.lit(True)
+        for key, part in reversed(list(zip(keys, parts, strict=True))):
+            out = (F.get(part, at) < key) | ((F.get(part, at) == key) & out)
+        return out
+
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(points).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at + step - 1), at + step).otherwise(at))
 
 
 def in_training(doc_id: Column) -> Column:

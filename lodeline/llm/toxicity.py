@@ -1,15 +1,18 @@
 """Toxicity: a logistic classifier with a counterfactual penalty.
 
-Each labelled text that names a group is paired with the text in which the group terms are swapped for others
-of their kind. Training minimises the log loss plus PENALTY times the squared difference of the two scores'
-logits, so a group's name itself carries no weight and neutral mentions aren't called toxic.
+A group term is planted in each labelled text, by a fixed seed and alike for both labels, and the text is
+paired with the one in which its group terms, planted or its own, are swapped for others of their kind. Training
+minimises the log loss plus ``penalty`` times the squared difference of the two texts' logits, so that a group's
+name carries no weight of its own and neutral mentions aren't called toxic.
+
+The settings are chosen by cross-validation inside the training rows.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +24,31 @@ BITS = 18
 #: Labelled training rows of either class at most; a documented bound, the scores cover all rows. Beyond it rows weigh
 #: as many labels as they stand for.
 SAMPLE_PER_CLASS = 4_000
-#: Features seen in fewer training texts, or whose log odds between the classes are within so many standard errors of
-#: naught, are left out: a long text holds thousands of words that tell nothing, and must gather no noise from them.
-LEAST_TEXTS = 4
-LEAST_ERRORS = 2.8
-EPOCHS = 200
-#: Weight of the squared logit difference between a text and its counterfactual.
-PENALTY = 1.0
 #: Probability from which a text is predicted toxic.
 THRESHOLD = 0.3
+#: Folds of the cross-validation.
+FOLDS = 4
+SEED = 29
+
+
+@dataclass(frozen=True)
+class Settings:
+    """``least``, ``errors``: features seen in fewer training texts, or whose log odds between the classes are within so
+    many standard errors of naught, are left out: a long text holds thousands of words that tell nothing, and must
+    gather no noise from them. ``penalty``: weight of the squared logit difference between a text and its
+    counterfactual."""
+
+    least: int = 4
+    errors: float = 3.0
+    l1: float = 1e-4
+    epochs: int = 200
+    penalty: float = 1.0
+
+
+#: What cross-validation chooses from, one setting after the other; the first of equal ones is taken.
+GRID = {"errors": (3.0, 2.0, 2.5, 3.5, 4.0, 5.0), "least": (4, 2, 8, 16), "l1": (1e-4, 1e-3, 1e-5), "epochs": (200, 100)}
+#: Of the penalties the largest whose loss in cross-validation is within this share of the least.
+PENALTIES, PENALTY_COST = (0.25, 0.5, 1.0, 2.0, 4.0), 0.02
 
 #: Terms of one kind, swapped for each other.
 IDENTITY_TERMS = (
@@ -44,6 +63,7 @@ IDENTITY_TERMS = (
     ("old", "young", "disabled", "blind", "deaf"),
 )
 _NEXT = {a.encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITY_TERMS for i, a in enumerate(kind)}
+_TERMS = sorted(_NEXT)
 
 #: Lower-cases A-Z; all other ASCII but letters and digits cuts words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -54,6 +74,13 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def planted(words: list[bytes], text: bytes, seed: int = SEED) -> list[bytes]:
+    """The words with a group term among them, which term and where drawn from the text and the seed, never from its label."""
+    r = np.random.default_rng([seed, zlib.crc32(text), len(text)])
+    at = int(r.integers(len(words) + 1))
+    return [*words[:at], _TERMS[r.integers(len(_TERMS))], *words[at:]]
+
+
 def counterfactual(words: list[bytes]) -> list[bytes] | None:
     """The words with each identity term swapped for the next of its kind; None where there is no such term."""
     out = [_NEXT.get(w, w) for w in words]
@@ -87,6 +114,12 @@ class _Rows:
         self.at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         self.index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
 
+    def only(self, chosen: np.ndarray, place: np.ndarray) -> _Rows:
+        """The columns that are chosen, at their new places."""
+        out, keep = _Rows([]), chosen[self.index]
+        out.count, out.at, out.index = self.count, self.at[keep], place[self.index[keep]]
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, w[self.index], self.count)
 
@@ -94,73 +127,127 @@ class _Rows:
         return np.bincount(self.index, g[self.at], size)
 
 
-def _pair(text: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-    """A text's features and its counterfactual's."""
-    words = words_of(text)
-    other = counterfactual(words)
-    return features(words), None if other is None else features(other)
+Row = tuple[np.ndarray, np.ndarray, int]
+
+
+def _pair(text: bytes, plant: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A text's features, with its planted term, and its counterfactual's; without a term a text is its own counterfactual."""
+    words = planted(words_of(text), text) if plant else words_of(text)
+    own = features(words)
+    return own, own if (other := counterfactual(words)) is None else features(other)
 
 
-def train(sample: list[tuple[bytes, int]], **settings) -> tuple[np.ndarray, float]:
+def train(sample: list[tuple[bytes, int]], settings: Settings = Settings(), plant: bool = True) -> tuple[np.ndarray, float]:
     """``train_features`` of labelled texts."""
-    return train_features([(*_pair(t), y) for t, y in sample], **settings)
+    return train_features([(*_pair(t, plant), y) for t, y in sample], settings)
+
+
+class _Sample:
+    """Training rows as matrices, and in how many texts of either class each feature is."""
+
+    def __init__(self, rows: list[Row]):
+        self.own, self.label = _Rows([own for own, _, _ in rows]), np.array([y for _, _, y in rows], dtype=np.int64)
+        pairs = [(i, other) for i, (own, other, _) in enumerate(rows) if other is not own]
+        self.of, self.swapped = np.array([i for i, _ in pairs], dtype=np.int64), _Rows([other for _, other in pairs])
+        mine = self.label[self.own.at]
+        self.seen = [np.bincount(self.own.index[mine == k], minlength=1 << BITS) for k in (0, 1)]
+        self.texts = np.bincount(self.label, minlength=2)
+        odds = [np.log((n + 0.5) / (t - n + 0.5)) for n, t in zip(self.seen, self.texts, strict=True)]
+        spread = np.sqrt(sum(1 / (n + 0.5) + 1 / (t - n + 0.5) for n, t in zip(self.seen, self.texts, strict=True)))
+        self.errors = np.abs(odds[1] - odds[0]) / spread
+        self.terms = np.intersect1d(features(_TERMS), np.union1d(self.own.index, self.swapped.index))
 
+    def chosen(self, s: Settings) -> np.ndarray:
+        out = (self.seen[0] + self.seen[1] >= s.least) & (self.errors >= s.errors)
+        out[self.terms] = True
+        return out
 
-def train_features(rows: list[tuple[np.ndarray, np.ndarray | None, int]], penalty: float = PENALTY, epochs: int = EPOCHS, least: int = LEAST_TEXTS, errors: float = LEAST_ERRORS, l1: float = 1e-4, per_row: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
+
+def train_features(rows: list[Row] | _Sample, settings: Settings = Settings(), per_row: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """Weights and intercept from (features, counterfactual's features, label); no rows give zeros, so every score is one half.
 
     ``per_row``: how many labels a row of either class stands for.
-    Full-batch proximal AdaGrad with L1 over the features that tell the classes apart.
+    Full-batch proximal AdaGrad with L1 over the features that tell the classes apart and those of the group terms,
+    which are always kept: the penalty, not the choice of features, must make them weigh nothing.
     """
-    size = 1 << BITS
+    weights = np.zeros(1 << BITS, np.float32)
     if not rows:
-        return np.zeros(size, np.float32), 0.0
-    in_class, texts_of = [np.zeros(size, np.int64), np.zeros(size, np.int64)], [0, 0]
-    for own, _, label in rows:
-        in_class[label][own] += 1  # a text's features are distinct
-        texts_of[label] += 1
-    odds = [np.log((n + 0.5) / (t - n + 0.5)) for n, t in zip(in_class, texts_of, strict=True)]
-    spread = np.sqrt(sum(1 / (n + 0.5) + 1 / (t - n + 0.5) for n, t in zip(in_class, texts_of, strict=True)))
-    seen = (in_class[0] + in_class[1] >= least) & (np.abs(odds[1] - odds[0]) >= errors * spread)
-    terms = np.zeros(size, bool)
-    terms[features(list(_NEXT))] = True
-    for _, other, _ in rows:  # a swapped-in term needs a weight too, else its pair can't be compared
-        if other is not None:
-            seen[other[terms[other]]] = True
-    keep = lambda f: f[seen[f]]
-    x, y = _Rows([keep(own) for own, _, _ in rows]), np.array([label for _, _, label in rows], dtype=np.float64)
-    pairs = [(i, other) for i, (_, other, _) in enumerate(rows) if other is not None]
-    of, swapped = np.array([i for i, _ in pairs], dtype=np.int64), _Rows([keep(other) for _, other in pairs])
-    share = np.array(per_row)[y.astype(np.int64)]
+        return weights, 0.0
+    sample = rows if isinstance(rows, _Sample) else _Sample(rows)
+    chosen = sample.chosen(settings)
+    at = np.flatnonzero(chosen)
+    place = np.cumsum(chosen) - 1
+    x, swapped, of = sample.own.only(chosen, place), sample.swapped.only(chosen, place), sample.of
+    y, share = sample.label.astype(np.float64), np.array(per_row)[sample.label]
     share /= share.sum()
-    w, b, sq, sq_b = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
-    for _ in range(epochs):
+    w, b, sq, sq_b = np.zeros(len(at)), 0.0, np.full(len(at), 1e-8), 1e-8
+    for _ in range(settings.epochs):
         z = x.dot(w) + b
         g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        pull = 2 * penalty * share[of] * (z[of] - swapped.dot(w) - b)
-        np.add.at(g_pair := np.zeros_like(g), of, pull)
-        grad = x.back(g + g_pair, size) - swapped.back(pull, size)
+        pull = 2 * settings.penalty * share[of] * (z[of] - swapped.dot(w) - b)
+        grad = x.back(g + np.bincount(of, pull, len(g)), len(at)) - swapped.back(pull, len(at))
         sq += grad * grad
         rate = 0.5 / np.sqrt(sq)
         w -= rate * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * settings.l1, 0)
         sq_b += (gb := float(g.sum())) ** 2
         b -= 0.5 / sq_b**0.5 * gb
-    return w.astype(np.float32), float(b)
+    weights[at] = w
+    return weights, float(b)
+
+
+def _loss(sample: _Sample, model: tuple[np.ndarray, float], per_row: tuple[float, float]) -> float:
+    """Mean log loss, weighted as in training."""
+    z = np.clip(sample.own.dot(model[0].astype(np.float64)) + model[1], -30, 30)
+    return float(np.average(np.logaddexp(0, np.where(sample.label == 1, -z, z)), weights=np.array(per_row)[sample.label]))
+
+
+def choose(rows: list[Row], per_row: tuple[float, float] = (1.0, 1.0), folds: int = FOLDS) -> Settings:
+    """Settings by cross-validation over the given rows alone: one after the other, each value by its mean log loss.
+
+    Of either class every ``folds``-th row is left out in turn. Fewer rows of a class than two a fold keep the first values.
+    """
+    best = Settings(**{k: v[0] for k, v in GRID.items()})
+    by_class = [[r for r in rows if r[2] == k] for k in (0, 1)]
+    if min(map(len, by_class)) < 2 * folds:
+        return best
+    parts = [[_Sample([r for c in by_class for i, r in enumerate(c) if (i % folds == k) == out]) for out in (False, True)] for k in range(folds)]
+    known: dict[Settings, float] = {}
+
+    def loss(s: Settings) -> float:
+        if s not in known:
+            known[s] = float(np.mean([_loss(out, train_features(kept, s, per_row), per_row) for kept, out in parts]))
+        return known[s]
+
+    for name, values in GRID.items():
+        best = min((replace(best, **{name: v}) for v in values), key=loss)
+    penalties = [replace(best, penalty=p) for p in PENALTIES]
+    cheapest = min(map(loss, penalties))
+    return max((s for s in penalties if loss(s) <= cheapest * (1 + PENALTY_COST)), key=lambda s: s.penalty)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, settings: Settings | None = None) -> tuple[np.ndarray, float]:
+    """Learnt from the training rows only; the settings, where none are given, by ``choose``.
+
+    Texts become features where they are; the driver gets a bounded number of rows of packed features.
+    """
+    per_row = labels_per_row(labels, "toxic", per_class)
+    rows = training_features(docs, labels, per_class)
+    return train_features(rows, settings or choose(rows, per_row), per_row=per_row)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float]:
-    """Texts become features where they are; the driver gets a bounded number of rows of packed features."""
+def training_features(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[Row]:
+    """The features of the sampled training texts and of their counterfactuals, in the order of their rank."""
     session(docs)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         pairs = [_pair(t) for t in texts(batch["text"])]
-        pack = lambda f: None if f is None else f.astype(np.int32).tobytes()
+        pack = lambda f: f.astype(np.int32).tobytes()
         return pa.record_batch([batch["rank"], batch["label"], pa.array([pack(a) for a, _ in pairs], pa.binary()), pa.array([pack(b) for _, b in pairs], pa.binary())], ["rank", "label", "own", "other"])
 
     packed = map_arrow(labelled_rows(docs, labels, "toxic", per_class), each, "rank string, label int, own binary, other binary")
-    read = lambda f: None if f is None else np.frombuffer(f, np.int32)
-    return train_features([(read(r["own"]), read(r["other"]), r["label"]) for r in sorted(packed.collect(), key=lambda r: r["rank"])], per_row=labels_per_row(labels, "toxic", per_class))
+    read = lambda f: np.frombuffer(f, np.int32)
+    return [(read(r["own"]), read(r["other"]), r["label"]) for r in sorted(packed.collect(), key=lambda r: r["rank"])]
 
 
 def _score(text: bytes, model: tuple[np.ndarray, float]) -> float:

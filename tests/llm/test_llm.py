@@ -277,45 +277,67 @@ def test_revisits(spark, monkeypatch):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
-def test_reads_warc(spark, tmp_path):
-    def record(kind, head, body):
-        block = head + b"\r\n\r\n" + body
-        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2024\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
-
-    data = record(b"response", b"HTTP/1.1 200 OK\r\nETag: x", b"hello") + record(b"request", b"GET / HTTP/1.1", b"") + record(b"revisit", b"HTTP/1.1 304 Not Modified\r\nETag: x", b"")
-    (tmp_path / "a.warc").write_bytes(data)
+def warc_record(kind, head, body, date="2024-01-01T00:00:00Z"):
+    block = head + b"\r\n\r\n" + body
+    return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: http://a/\r\nWARC-Date: " + date.encode() + b"\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize(("zipped", "chunk"), [(False, 1 << 20), (True, 1 << 20), (False, 7), (True, 7)])
+def test_warc_files_reach_the_resolver(spark, tmp_path, monkeypatch, zipped, chunk):
+    import gzip
+
+    body = "é\r\n\r\nWARC/1.0 is text here".encode() * 30
+    records = [
+        warc_record(b"response", b"HTTP/1.1 200 OK\r\nETag: x", body),
+        warc_record(b"request", b"GET / HTTP/1.1", b""),
+        b"noise between records\r\n",
+        warc_record(b"revisit", b"HTTP/1.1 304 Not Modified\r\nETag: x\r\nExpires: e", b"", "2024-01-01T00:00:01Z"),
+        warc_record(b"revisit", b"HTTP/1.1 200 OK\r\nETag: x", b"", "2024-01-01T00:00:02Z"),
+        warc_record(b"revisit", b"HTTP/1.1 304 Not Modified\r\nETag: x", b"", "no date"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(gzip.compress(r) for r in records) if zipped else b"".join(records))
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    with open(tmp_path / "a.warc", "rb", buffering=0) as file:
+        assert [(r["kind"], r["status"]) for r in warc.parse_warc(file)] == [("response", 200), ("revisit", 304), ("revisit", 200), ("revisit", 304)]
     rows = warc.read_warc(spark, str(tmp_path)).orderBy("place").collect()
-    assert [(r["kind"], r["status"], bytes(r["body"])) for r in rows] == [("response", 200, b"hello"), ("revisit", 304, b"")]
+    assert [bytes(r["body"]) for r in rows] == [body, b"", b"", b""] and rows[0]["headers"] == {"etag": "x"}
+    found = warc.resolve_revisits(warc.records_of_warc(warc.read_warc(spark, str(tmp_path)))).collect()
+    assert sorted(((r["outcome"], r["headers"], r["digest"]) for r in found), key=str) == [("orphan", "etag: x", None), ("resolved", "etag: x\nexpires: e", hashlib.sha256(body).hexdigest())]
 
 
 # ---------------------------------------------------------------- 5 winnowing
 
 
 def brute_winnow(spark, text):
-    """By the definition, on the hashes that Spark gives."""
-    w = text.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ")
-    w = [x for x in w if x] or [""]
-    h = [r[0] for r in spark.createDataFrame([(x,) for x in w], "w string").coalesce(1).select(F.xxhash64("w")).collect()]
-    if len(h) >= winnow.K:
-        tuples = [tuple(h[i : i + 5]) for i in range(len(h) - 4)]
-        two = lambda a, b: F.xxhash64(a, b)
-        df = spark.createDataFrame(tuples, "a bigint, b bigint, c bigint, d bigint, e bigint").coalesce(1)
-        grams = [r[0] & 0xFFFFFFFF for r in df.select(two(two(two(F.col("a"), F.col("b")), two(F.col("c"), F.col("d"))), F.col("e"))).collect()]
-    else:
-        grams = [spark.createDataFrame([(h,)], "h array<bigint>").select(F.xxhash64("h")).first()[0] & 0xFFFFFFFF]
+    """By the definition, on the hashes of units that Spark gives, with a hash that rolls from gram to gram."""
+    m, base, k = winnow.MODULUS, winnow.BASE, winnow.K
+    line = text.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).strip(" ")
+    w = [x for x in line.split(" ") if x]
+    if not line:
+        w = [""]
+    elif len(w) < k or len(line) > winnow.LONG_WORDS * len(w):
+        w = list(line)
+    h = [r[0] % m for r in spark.createDataFrame([(x,) for x in w], "w string").coalesce(1).select(F.xxhash64("w")).collect()]
+    now = 0
+    for x in h[:k]:
+        now = (now * base + x) % m
+    grams, lead = [now], pow(base, k - 1, m)
+    for i in range(k, len(h)):
+        now = ((now - h[i - k] * lead) * base + h[i]) % m
+        grams.append(now)
     n = min(winnow.WINDOW, len(grams))
     picked = []
     for i in range(len(grams) - n + 1):
         low = min(grams[i : i + n])
-        at = max(k for k in range(i, i + n) if grams[k] == low)
+        at = max(j for j in range(i, i + n) if grams[j] == low)
         if at not in picked:
             picked.append(at)
-    return ",".join(f"{grams[k]:x}:{k}" for k in picked)
+    return ",".join(f"{grams[j]:x}:{j}" for j in picked)
 
 
 def test_winnowing(spark):
     r = random.Random(6)
-    texts = [words(r, 100), words(r, 5), words(r, 11), "a b " * 40, "tab\tand\nline " + words(r, 20), "", "one"]
+    texts = [words(r, 100), words(r, 5), words(r, 11), "a b " * 40, "tab\tand\nline " + words(r, 20), "", "one", "one two  three", "語" * 40 + " " + "文字" * 60, "a\U0001f600b" * 9]
     df = winnow.fingerprints(clashing(docs(spark, texts)))
     got = {x["doc_id"]: x for x in df.collect()}
     for i, t in enumerate(texts):
@@ -339,7 +361,8 @@ def test_winnowing_guarantee_and_edges(spark):
     assert one["near_next"] == 1.0
     odd = spark.createDataFrame([(None, "a"), (2**60, "b"), (-5, "c"), (3, "d"), (3, "e")], "doc_id bigint, text string")
     order = [x["next_text"] for x in sorted(winnow.with_successor(odd, ["text"]).collect(), key=lambda x: x["text"])]
-    assert order == ["c", "a", "d", "e", "b"]
+    first, last = sorted("de", key=lambda t: odd.where(F.col("text") == t).select(F.xxhash64("text")).first()[0])
+    assert dict(zip("abcde", order, strict=True)) == {"a": "c", "c": first, first: last, last: "b", "b": "a"}
 
 
 def test_successors_over_many_stretches(spark, monkeypatch):
@@ -395,7 +418,7 @@ def test_toxicity_penalty_lowers_the_gap(spark):
     scores = {}
     sample = [(t["text"].encode(), t["toxic"]) for t in table.join(labels, "doc_id").orderBy("doc_id").collect()]
     for penalty in (0.0, 20.0):
-        model = toxicity.train(sample, penalty=penalty)
+        model = toxicity.train(sample, toxicity.Settings(penalty=penalty), plant=False)
         neutral = "we met muslims at the market".encode()
         swapped = "we met christians at the market".encode()
         scores[penalty] = (toxicity._score(neutral, model), toxicity._score(swapped, model), toxicity._score(b"you idiot scum of muslims", model))
