@@ -1,16 +1,20 @@
 """Personal data: a character-level bidirectional LSTM with a CRF on top, beside the base patterns.
 
-The network is trained in numpy from labelled spans: lines made from a seed, in which e-mail addresses, IP
-addresses, card and phone numbers in many spellings are marked, among look-alikes (versions, keys, dates, table
-cells) that are not. A text is read in overlapping windows; the spans that windows decode are reconciled over the
-whole text as the heaviest set of spans that don't overlap each other or the base spans.
-
-Each span holds a digit or an ``@`` (the decoded ones must, too), so only windows with such a character are run.
+The network is trained in numpy from labelled spans: lines made from a seed and from words of the documents
+themselves, in which e-mail addresses, IP addresses, card and phone numbers in many spellings are marked, among
+look-alikes (versions, keys, dates, table cells) that are not. A text is read in overlapping windows; spans that
+windows cut are put together again, and the spans are reconciled over the whole text as the heaviest set of those
+that don't overlap each other or the base spans.
+
+Each span holds a digit, an ``@`` or a spelled-out ``(at)`` or ``(dot)`` (the decoded ones must, too), so only windows
+with such a sign are run.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import io
 import random
 import re
 import uuid
@@ -18,21 +22,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodeline.llm.shared import map_arrow, session
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
+#: Characters of a training line.
+LINE = 64
 EMBED, HIDDEN = 10, 18
-LINES, EPOCHS, BATCH, SEED = 2_000, 7, 32, 11
+LINES, EPOCHS, BATCH, SEED = 2_400, 7, 40, 11
+#: Documents, those with the least ids, whose words the training lines use, and words of them at most: a documented bound.
+PROSE_DOCS, PROSE_WORDS = 64, 4_000
 #: Mean margin over "outside" that a decoded span needs.
 LEAST_MARGIN = 0.25
 #: Windows that are run together.
 TOGETHER = 1_024
 
 _TAGS = 1 + 2 * len(KINDS)  # 0 outside, 1 + 2k begins kind k, 2 + 2k goes on
-_TRIGGER = re.compile("[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[{] ?(?:at|dot) ?[)\]}]")
 
 # ---------------------------------------------------------------- base patterns
 
@@ -54,7 +63,7 @@ def luhn(digits: list[int]) -> bool:
 
 def _valid(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in text.split(".")))  # int() refuses very long numbers
     digits = _digits(text)
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15 if kind == "phone" else True
 
@@ -127,10 +136,12 @@ def _personal(r: random.Random) -> tuple[str, str]:
     kind = r.choice(KINDS)
     if kind == "email":
         name, host = "".join(c for c in _word(r) if c.isascii()) or "x", "".join(c for c in _word(r) if c.isascii()) or "y"
-        at = r.choice(("@", "@", "@", " @ ", "(@)", "[@]"))
-        return kind, f"{name}{r.choice(('', '.', '_', '.%d.' % r.randint(0, 99)))}{r.randint(0, 99)}{at}{host}{r.choice(('', str(r.randint(1, 9))))}.{r.choice(('com', 'example.com', 'org', 'net', 'co.uk'))}"
+        at, dot = r.choice((("@", "."), ("@", "."), (" @ ", "."), ("(@)", "."), ("[@]", "."), ("(at)", "."), ("[at]", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("{at}", "{dot}")))
+        end = r.choice(("com", "example.com", "org", "net", "co.uk")).replace(".", dot)
+        number = r.choice(("", str(r.randint(0, 99)))) if "at" in at else str(r.randint(0, 99))
+        return kind, f"{name}{r.choice(('', '.', '_', '.%d.' % r.randint(0, 99)))}{number}{at}{host}{r.choice(('', str(r.randint(1, 9))))}{dot}{end}"
     if kind == "ip":
-        return kind, r.choice((".", ".", ".", "[.]")).join(str(r.randint(0, 255)) for _ in range(4))
+        return kind, r.choice((".", ".", "[.]", "(dot)", " dot ")).join(str(r.randint(0, 255)) for _ in range(4))
     return kind, _card_number(r) if kind == "card" else _phone_number(r)
 
 
@@ -140,28 +151,29 @@ def _look_alike(r: random.Random) -> str:
     return r.choice((f"version {n(1, 9)}.{n(0, 9)}", f"{n(1, 9)}.{n(0, 20)}.{n(0, 20)}", f"AKIA{key}", f"password={n(0, 2**64):x}", f"{n(1900, 2030)}-{n(1, 12):02d}-{n(1, 28):02d}", f"${n(1, 9999)}.{n(0, 99):02d}", f"{n(0, 10**6)}", f"{n(1, 99)}%", f"@{_word(r)}", f"{n(1, 12)}:{n(0, 59):02d}", f"#{n(1, 9999)}", f"{n(0, 10**12)}", f"{n(300, 999)}.{n(300, 999)}.{n(0, 999)}.{n(0, 999)}", f"{n(1, 9)}, {n(1, 9)}, {n(1, 9)}"))
 
 
-def labelled_lines(count: int = LINES, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Lines of WINDOW characters and the spans in them."""
+def labelled_lines(count: int = LINES, seed: int = SEED, prose: tuple[str, ...] = ()) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Lines of LINE characters and the spans in them; every other line's words are of ``prose``, if there is any."""
     r, out = random.Random(seed), []
-    for _ in range(count):
+    for k in range(count):
         line, spans = "", []
-        while len(line) < WINDOW + 30:
+        word = (lambda: r.choice(prose)) if prose and k % 2 else (lambda: _word(r))
+        while len(line) < LINE + 30:
             what = r.random()
             if what < 0.16:
                 kind, body = _personal(r)
                 spans.append((len(line), len(line) + len(body), kind))
             else:
-                body = _look_alike(r) if what < 0.3 else _word(r)
+                body = _look_alike(r) if what < 0.3 else word()
                 body = body.capitalize() if r.random() < 0.15 and what >= 0.3 else body
             line += body + r.choice((" ", " ", " ", ", ", ". ", "\n", " | "))
-        cut = r.randint(0, len(line) - WINDOW)
-        inside = [(max(a - cut, 0), min(b - cut, WINDOW), k) for a, b, k in spans if a - cut < WINDOW - 3 and b - cut > 3]
-        out.append((line[cut : cut + WINDOW], inside))
+        cut = r.randint(0, len(line) - LINE)
+        inside = [(max(a - cut, 0), min(b - cut, LINE), k) for a, b, k in spans if a - cut < LINE - 3 and b - cut > 3]
+        out.append((line[cut : cut + LINE], inside))
     return out
 
 
 def _tags(spans: list[tuple[int, int, str]]) -> np.ndarray:
-    out = np.zeros(WINDOW, np.int64)
+    out = np.zeros(LINE, np.int64)
     for a, b, kind in spans:
         out[a:b] = 2 + 2 * KINDS.index(kind)
         out[a] = 1 + 2 * KINDS.index(kind)
@@ -177,75 +189,86 @@ for _k in range(len(KINDS)):
             _BANNED[_t, 2 + 2 * _k] = -1e4
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _lstm(x: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool = False):
-    """Outputs (T, B, H) of inputs (T, B, E); with ``keep``, what the way back needs."""
-    size, batch = b.size // 4, x.shape[1]
-    pre = x @ w[: x.shape[2]] + b
-    u = w[x.shape[2] :]
-    h, c = np.zeros((batch, size), x.dtype), np.zeros((batch, size), x.dtype)
-    out, kept = np.empty((x.shape[0], batch, size), x.dtype), []
-    for t in range(x.shape[0]):
-        z = pre[t] + h @ u
-        gates = _sigmoid(z[:, : 3 * size])
-        g = np.tanh(z[:, 3 * size :])
-        before = c
-        c = gates[:, size : 2 * size] * c + gates[:, :size] * g
-        tanh_c = np.tanh(c)
-        if keep:
-            kept.append((gates, g, before, tanh_c, h))
-        h = gates[:, 2 * size :] * tanh_c
-        out[t] = h
-    return out, kept
+    """Outputs (T, 2, B, H) of inputs (T, 2, B, E), both directions at once; with ``keep``, the gates and cells for the way back.
 
-
-def _lstm_back(x, w, kept, grad):
-    size, e = grad.shape[2], x.shape[2]
-    u, dw, db, dx = w[e:], np.zeros_like(w), np.zeros(4 * size), np.empty_like(x)
+    A logistic gate is half a hyperbolic tangent of half its input, plus a half, so that one call does all four.
+    """
+    steps, _, batch, e = x.shape
+    size = b.shape[1] // 4
+    half = np.repeat(np.array([0.5, 0.5, 0.5, 1], x.dtype), size)
+    pre = (x @ w[:, :e] + b[:, None, :]) * half
+    u = w[:, e:] * half
+    h, c = np.zeros((2, batch, size), x.dtype), np.zeros((2, batch, size), x.dtype)
+    out = np.empty((steps, 2, batch, size), x.dtype)
+    gates, cells = (np.empty((steps, 2, batch, 4 * size), x.dtype), np.empty_like(out)) if keep else (None, None)
+    for t in range(steps):
+        z = np.tanh(pre[t] + h @ u)
+        z[..., : 3 * size] += 1
+        z[..., : 3 * size] *= 0.5
+        c = z[..., size : 2 * size] * c + z[..., :size] * z[..., 3 * size :]
+        h = z[..., 2 * size : 3 * size] * np.tanh(c)
+        out[t] = h
+        if keep:
+            gates[t], cells[t] = z, c
+    return out, (gates, cells)
+
+
+def _lstm_back(x, w, out, kept, grad):
+    """Gradients by inputs, weights and offsets."""
+    steps, _, batch, size = grad.shape
+    e = x.shape[3]
+    gates, cells = kept
+    i, f, o, g = (gates[..., k * size : (k + 1) * size] for k in range(4))
+    tanh_c, before = np.tanh(cells), np.concatenate([np.zeros_like(cells[:1]), cells[:-1]])
+    # What each gate's input gets of the cell's or, for the third, the output's gradient.
+    factor = np.stack([g * i * (1 - i), before * f * (1 - f), tanh_c * o * (1 - o), i * (1 - g * g)], axis=3)
+    through = o * (1 - tanh_c * tanh_c)
+    back, dz = w[:, e:].transpose(0, 2, 1), np.empty((steps, 2, batch, 4, size), grad.dtype)
     dh_next = dc_next = 0
-    for t in range(x.shape[0] - 1, -1, -1):
-        gates, g, before, tanh_c, h = kept[t]
-        i, f, o = gates[:, :size], gates[:, size : 2 * size], gates[:, 2 * size :]
+    for t in range(steps - 1, -1, -1):
         dh = grad[t] + dh_next
-        dc = dh * o * (1 - tanh_c**2) + dc_next
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tanh_c * o * (1 - o), dc * i * (1 - g**2)], axis=1)
-        dw[:e] += x[t].T @ dz
-        dw[e:] += h.T @ dz
-        db += dz.sum(axis=0)
-        dx[t], dh_next, dc_next = dz @ w[:e].T, dz @ u.T, dc * f
-    return dx, dw, db
-
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+        dc = dh * through[t] + dc_next
+        z = dz[t]
+        z[:] = dc[:, :, None]
+        z[:, :, 2] = dh
+        z *= factor[t]
+        dh_next, dc_next = z.reshape(2, batch, -1) @ back, dc * f[t]
+    dz = dz.reshape(steps, 2, batch, -1)
+    flat = lambda a: a.transpose(1, 0, 2, 3).reshape(2, -1, a.shape[3])
+    earlier = np.concatenate([np.zeros_like(out[:1]), out[:-1]])
+    each, dw = flat(dz), np.empty_like(w)
+    dw[:, :e] = flat(x).transpose(0, 2, 1) @ each
+    dw[:, e:] = flat(earlier).transpose(0, 2, 1) @ each
+    return dz @ w[:, :e].transpose(0, 2, 1), dw, each.sum(axis=1)
 
 
 def crf_loss(emit: np.ndarray, trans: np.ndarray, tags: np.ndarray):
-    """Mean negative log likelihood of tags (T, B) and its gradients by emissions and transitions."""
+    """Mean negative log likelihood of tags (T, B) and its gradients by emissions and transitions.
+
+    Forward and backward probabilities are scaled at each step, so that none vanishes.
+    """
     steps, batch, k = emit.shape
-    trans = trans + _BANNED[:k, :k]
-    forward, backward = np.empty_like(emit), np.zeros_like(emit)
-    forward[0] = emit[0]
-    for t in range(1, steps):
-        forward[t] = emit[t] + _lse(forward[t - 1][:, :, None] + trans, 1)
-    for t in range(steps - 2, -1, -1):
-        backward[t] = _lse(trans + (emit[t + 1] + backward[t + 1])[:, None, :], 2)
-    total = _lse(forward[-1], 1)
-    one = np.arange(batch)
-    gold = emit[0, one, tags[0]].copy()
-    d_emit, d_trans = np.exp(forward + backward - total[None, :, None]), np.zeros((k, k))
+    trans = (trans + _BANNED[:k, :k]).astype(np.float64)
+    top = emit.max(axis=2, keepdims=True).astype(np.float64)
+    e, psi = np.exp(emit - top), np.exp(trans)
+    forward, backward, scale = np.empty_like(e), np.ones_like(e), np.empty((steps, batch, 1))
+    now = e[0]
     for t in range(steps):
-        d_emit[t, one, tags[t]] -= 1
         if t:
-            gold += emit[t, one, tags[t]] + trans[tags[t - 1], tags[t]]
-            pair = np.exp(forward[t - 1][:, :, None] + trans + (emit[t] + backward[t])[:, None, :] - total[:, None, None])
-            d_trans += pair.sum(axis=0)
-            np.add.at(d_trans, (tags[t - 1], tags[t]), -1)
-    return float((total - gold).mean()), d_emit / batch, d_trans / batch
+            now = (forward[t - 1] @ psi) * e[t]
+        scale[t] = now.sum(axis=1, keepdims=True)
+        forward[t] = now / scale[t]
+    for t in range(steps - 2, -1, -1):
+        backward[t] = (e[t + 1] * backward[t + 1] / scale[t + 1]) @ psi.T
+    one, at = np.arange(batch), np.arange(steps)[:, None]
+    gold = emit[at, one, tags].sum(axis=0) + trans[tags[:-1], tags[1:]].sum(axis=0)
+    total = np.log(scale).sum(axis=0)[:, 0] + top.sum(axis=0)[:, 0]
+    d_emit = forward * backward
+    d_emit[at, one, tags] -= 1
+    d_trans = psi * np.einsum("tbi,tbj->ij", forward[:-1], e[1:] * backward[1:] / scale[1:], optimize=True)
+    np.add.at(d_trans, (tags[:-1], tags[1:]), -1)
+    return float((total - gold).mean()), (d_emit / batch).astype(emit.dtype), d_trans / batch
 
 
 def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -264,32 +287,33 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, seed: int = SEED, symbols: int = SYMBOLS, embed: int = EMBED, hidden: int = HIDDEN, tags: int = _TAGS):
+    def __init__(self, seed: int = SEED, symbols: int = SYMBOLS, embed: int = EMBED, hidden: int = HIDDEN, tags: int = _TAGS, kind=np.float64):
         r = np.random.default_rng(seed)
-        make = lambda *s: r.normal(0, s[0] ** -0.5, s)
-        self.p = {"embed": r.normal(0, 0.5, (symbols, embed)), "wf": make(embed + hidden, 4 * hidden), "wb": make(embed + hidden, 4 * hidden), "bf": np.zeros(4 * hidden), "bb": np.zeros(4 * hidden), "out": make(2 * hidden, tags), "bias": np.zeros(tags), "trans": np.zeros((tags, tags))}
-        for b in ("bf", "bb"):
-            self.p[b][hidden : 2 * hidden] = 1
+        make = lambda *s: r.normal(0, s[-2] ** -0.5, s)
+        self.p = {"embed": r.normal(0, 0.5, (symbols, embed)), "w": make(2, embed + hidden, 4 * hidden), "b": np.zeros((2, 4 * hidden)), "out": make(2 * hidden, tags), "bias": np.zeros(tags), "trans": np.zeros((tags, tags))}
+        self.p["b"][:, hidden : 2 * hidden] = 1
+        self.p = {k: x.astype(kind) for k, x in self.p.items()}
 
     def emissions(self, codes: np.ndarray, keep: bool = False):
         """codes (T, B) to scores (T, B, tags)."""
         p, x = self.p, self.p["embed"][codes]
-        f, kf = _lstm(x, p["wf"], p["bf"], keep)
-        b, kb = _lstm(x[::-1], p["wb"], p["bb"], keep)
-        h = np.concatenate([f, b[::-1]], axis=2)
-        return h @ p["out"] + p["bias"], (x, h, kf, kb)
+        x = np.stack([x, x[::-1]], axis=1)
+        both, kept = _lstm(x, p["w"], p["b"], keep)
+        h = np.concatenate([both[:, 0], both[::-1, 1]], axis=2)
+        return h @ p["out"] + p["bias"], (x, h, both, kept)
 
     def gradients(self, codes: np.ndarray, tags: np.ndarray):
-        p, size = self.p, self.p["bf"].size // 4
-        emit, (x, h, kf, kb) = self.emissions(codes, keep=True)
+        p, size = self.p, self.p["b"].shape[1] // 4
+        emit, (x, h, both, kept) = self.emissions(codes, keep=True)
         loss, d_emit, d_trans = crf_loss(emit, p["trans"], tags)
         dh = d_emit @ p["out"].T
-        dxf, dwf, dbf = _lstm_back(x, p["wf"], kf, dh[:, :, :size])
-        dxb, dwb, dbb = _lstm_back(x[::-1], p["wb"], kb, dh[::-1, :, size:])
-        d_embed = np.zeros_like(p["embed"])
-        np.add.at(d_embed, codes.ravel(), (dxf + dxb[::-1]).reshape(-1, x.shape[2]))
+        dx, dw, db = _lstm_back(x, p["w"], both, kept, np.stack([dh[..., :size], dh[::-1, :, size:]], axis=1))
+        d_embed, flat_codes = np.zeros_like(p["embed"]), codes.ravel()
+        d_x = (dx[:, 0] + dx[::-1, 1]).reshape(-1, x.shape[3])
+        for j in range(d_embed.shape[1]):
+            d_embed[:, j] = np.bincount(flat_codes, d_x[:, j], len(d_embed))
         flat = h.reshape(-1, h.shape[2])
-        return loss, {"embed": d_embed, "wf": dwf, "wb": dwb, "bf": dbf, "bb": dbb, "out": flat.T @ d_emit.reshape(-1, d_emit.shape[2]), "bias": d_emit.sum(axis=(0, 1)), "trans": d_trans}
+        return loss, {"embed": d_embed, "w": dw, "b": db, "out": flat.T @ d_emit.reshape(-1, d_emit.shape[2]), "bias": d_emit.sum(axis=(0, 1)), "trans": d_trans}
 
     def fit(self, lines, epochs: int = EPOCHS, rate: float = 0.03) -> Tagger:
         codes, tags = np.stack([encode(t) for t, _ in lines]).astype(np.int64), np.stack([_tags(s) for _, s in lines])
@@ -306,24 +330,81 @@ class Tagger:
                     g = g * min(1.0, 5 / (norm + 1e-9))
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] -= rate * (1 - step / (total + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                    self.p[k] -= (rate * (1 - step / (total + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(self.p[k].dtype)
         return self
 
     def weights(self) -> dict:
         return {k: x.astype(np.float32) for k, x in self.p.items()}
 
 
-@lru_cache(1)
-def trained() -> dict:
-    """The weights; the seed fixes them."""
-    return Tagger().fit(labelled_lines()).weights()
+@lru_cache(4)
+def trained(prose: tuple[str, ...] = ()) -> dict:
+    """The weights; the seed and the words fix them."""
+    return Tagger(kind=np.float32).fit(labelled_lines(prose=prose)).weights()
+
+
+def prose_of(docs: DataFrame) -> tuple[str, ...]:
+    """Words without digits and marks of the documents with the least ids: PROSE_DOCS of them, PROSE_WORDS words.
+
+    The ids are found first, so that the texts are read of the files' parts that hold such ids.
+    """
+    ids = [r["doc_id"] for r in docs.select("doc_id").where("doc_id is not null").orderBy("doc_id").limit(PROSE_DOCS).collect()]
+    if not ids:
+        return ()
+    near = docs.select("doc_id", "text").where((F.col("doc_id") <= F.lit(ids[-1])) & F.col("text").isNotNull())
+    rows = near.groupBy("doc_id").agg(F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("m"), "text")).alias("x")).select("x.text").collect()  # PROSE_DOCS at most
+    found = {w for r in rows for w in re.findall(r"(?<!\S)[^\W\d_]{1,16}(?!\S)", r["text"])}
+    return tuple(sorted(found, key=lambda w: hashlib.md5(w.encode()).digest())[:PROSE_WORDS])
+
+
+def weights_for(docs: DataFrame) -> dict:
+    """The weights for these documents. They are kept in the shared folder, under a digest of the settings and the
+    words; a later application with the same ones doesn't train again."""
+    spark, prose = docs.sparkSession, prose_of(docs)
+    if not (base := spark.conf.get("spark.checkpoint.dir", None)) or trained_here(prose):
+        return trained(prose)
+    settings = (LINE, EMBED, HIDDEN, LINES, EPOCHS, BATCH, SEED, SYMBOLS, _TAGS, prose, labelled_lines(64))
+    path = f"{base}/lodeline/models/pii-{hashlib.sha256(repr(settings).encode()).hexdigest()[:32]}"
+    if (kept := _kept(spark, path)) is None:
+        kept = trained(prose)
+        _keep(spark, path, kept)
+    return kept
+
+
+_HERE: set = set()
+
+
+def trained_here(prose: tuple[str, ...]) -> bool:
+    """Whether this process has trained them already."""
+    known = prose in _HERE
+    _HERE.add(prose)
+    return known
+
+
+def _kept(spark: SparkSession, path: str) -> dict | None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    with np.load(io.BytesIO(spark.read.parquet(path).first()["weights"])) as found:
+        return dict(found)
+
+
+def _keep(spark: SparkSession, path: str, weights: dict) -> None:
+    """Written beside and then put in place, so that no reader sees half of it; of two writers the first wins."""
+    np.savez(out := io.BytesIO(), **weights)
+    part = f"{path}.{uuid.uuid4().hex}"
+    spark.createDataFrame([(bytearray(out.getvalue()),)], "weights binary").coalesce(1).write.parquet(part)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = make(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(make(path)) or not fs.rename(make(part), make(path)):
+        fs.delete(make(part), True)
 
 
 # ---------------------------------------------------------------- windows and spans
 
 
 def _starts(text: str) -> list[int]:
-    """Windows, at multiples of STRIDE, that hold a digit or an @."""
+    """Windows, at multiples of STRIDE, that hold a sign of a span."""
     out: set[int] = set()
     for m in _TRIGGER.finditer(text):
         k = m.start() // STRIDE
@@ -331,16 +412,64 @@ def _starts(text: str) -> list[int]:
     return [k * STRIDE for k in sorted(out)]
 
 
+_AT = re.compile(r" ?[(\[{] ?(?:at|@) ?[)\]}] ?| @ ")
+_DOT = re.compile(r" ?[(\[{] ?(?:dot|\.) ?[)\]}] ?| dot ")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: What a number's span has at most; an address of a mailbox may be of any length.
+_LONGEST = 64
+
+
 def _plausible(kind: str, text: str) -> bool:
-    """What a decoded span must be to be kept; the network proposes, these are the kinds' own rules."""
-    n = len(_digits(text))
+    """What a decoded span must be to be kept; the network proposes, these are the kinds' own rules, after spelled-out signs are read."""
     if kind == "email":
-        return "@" in text and 5 <= len(text) and "." in text.rpartition("@")[2] and text.rpartition("@")[2].strip(" )]").replace(".", "").replace("-", "").isalnum()
+        return bool(_EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", text))))
+    if len(text) > _LONGEST:
+        return False
     if kind == "ip":
-        return _valid("ip", p) if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", p := text.replace("[.]", ".")) else False
+        return _valid("ip", p) if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", p := _DOT.sub(".", text)) else False
+    n = len(_digits(text))
     return _valid("card", text) if kind == "card" else 10 <= n <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", text)) and any(c in " ().-" for c in text)
 
 
+#: What may go on beyond a window's edge, by kind.
+_MORE = {"email": re.compile(r"[A-Za-z0-9._%+-]+"), "ip": re.compile(r"[0-9.]+"), "card": re.compile(r"[0-9 -]+"), "phone": re.compile(r"[0-9 ().-]+")}
+
+Piece = tuple[int, int, float, bool, bool]
+
+
+def stitched(text: str, kind: str, pieces: list[Piece]) -> list[tuple[int, int, float]]:
+    """Spans of one kind from windows' pieces (start, end, weight, cut at the start, cut at the end).
+
+    Whole pieces stay. Pieces that overlap where one is cut become one, with the mean weight of their characters;
+    what is still cut goes on, over the characters that the kind may have, beyond the edge.
+    """
+    out = [(a, b, w) for a, b, w, left, right in pieces if not (left or right)]
+    merged: list[list] = []
+    for a, b, w, left, right in sorted(pieces):
+        if merged and a < (last := merged[-1])[1] and (last[4] or left):
+            size = b - a
+            last[2:4] = (last[2] * last[5] + w * size) / (last[5] + size), last[3] and (left or a > last[0])
+            last[4] = right if b > last[1] else last[4] and (right or b < last[1])
+            last[1], last[5] = max(last[1], b), last[5] + size
+        else:
+            merged.append([a, b, w, left, right, b - a])
+    if any(m[3] or m[4] for m in merged):
+        runs = [m.span() for m in _MORE[kind].finditer(text)]
+        starts = [a for a, _ in runs]
+        run_at = lambda i: runs[k] if 0 <= i and (k := bisect.bisect_right(starts, i) - 1) >= 0 and i < runs[k][1] else None
+        for m in merged:
+            if m[3] and (run := run_at(m[0] - 1)):
+                m[0] = run[0]
+            if m[4] and (run := run_at(m[1])):
+                m[1] = run[1]
+            while m[0] < m[1] and text[m[0]] in " .-)":
+                m[0] += 1
+            while m[0] < m[1] and text[m[1] - 1] in " .-(":
+                m[1] -= 1
+    out += [(m[0], m[1], m[2]) for m in merged if m[5] and m[0] < m[1]]
+    return list(dict.fromkeys(out))
+
+
 def reconcile(base: list[tuple[int, int, str]], found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
     """Base spans and the heaviest set of found spans that overlap neither each other nor a base span."""
     best: dict = {}
@@ -373,6 +502,7 @@ def find_spans(bodies: list[str], weights: dict) -> list[tuple[list, list]]:
     # Texts are encoded once; windows of many texts run together.
     places = [(i, s) for i, text in enumerate(bodies) if _TRIGGER.search(text) for s in _starts(text)]
     coded: dict = {}
+    pieces: dict[tuple[int, str], list[Piece]] = {}
     for at in range(0, len(places), TOGETHER):
         some = places[at : at + TOGETHER]
         coded = {i: coded[i] if i in coded else encode(bodies[i]) for i in {i for i, _ in some}}
@@ -390,12 +520,13 @@ def find_spans(bodies: list[str], weights: dict) -> list[tuple[list, list]]:
                 b += 1
             i, s = some[j]
             text = bodies[i]
-            cut = (a == 0 and s > 0) or (b == WINDOW and s + WINDOW < len(text))
-            if cut or s + b > len(text):
-                continue  # a window that overlaps this one sees it whole
-            weight = float(margin[a:b, j].mean())
-            if weight >= LEAST_MARGIN and _plausible(KINDS[kind // 2], text[s + a : s + b]):
-                found[i].append((s + a, s + b, KINDS[kind // 2], weight))
+            if s + b <= len(text):
+                piece = s + a, s + b, float(margin[a:b, j].mean()), a == 0 and s > 0, b == WINDOW and s + WINDOW < len(text)
+                pieces.setdefault((i, KINDS[kind // 2]), []).append(piece)
+    for (i, kind), some in pieces.items():
+        for a, b, weight in stitched(bodies[i], kind, some):
+            if weight >= LEAST_MARGIN and _plausible(kind, bodies[i][a:b]):
+                found[i].append((a, b, kind, weight))
     base = [base_spans(t) for t in bodies]
     return [(b, reconcile(b, f) if f else b) for b, f in zip(base, found, strict=True)]
 
@@ -414,7 +545,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans. Repeated rows are judged alike; an empty table gives an empty result;
     other columns are not read.
     """
-    shared = session(docs).sparkContext.broadcast((uuid.uuid4().hex, trained()))
+    shared = session(docs).sparkContext.broadcast((uuid.uuid4().hex, weights_for(docs)))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = find_spans(_strings(batch["text"]), shared.value[1])
@@ -440,7 +571,7 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """``docs``, all its columns and rows, with personal data masked in text and n_chars, where there is such a column, counted anew. A null text stays null."""
-    shared = session(docs).sparkContext.broadcast((uuid.uuid4().hex, trained()))
+    shared = session(docs).sparkContext.broadcast((uuid.uuid4().hex, weights_for(docs)))
     schema = docs.schema
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
