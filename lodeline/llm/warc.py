@@ -8,16 +8,21 @@ those that a 304 may update. DataFrame functions only.
 from __future__ import annotations
 
 import gzip
+import io
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeline.llm.shared import place_among, ship, split_points
+
 #: Headers of a 304 that replace the stored ones; others of it are ignored.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that do not tell pages apart.
 TRACKING = "utm_[a-z]+|gclid|fbclid|ref"
-#: Records that one URL has in a stretch of time, about, if all records were its own.
+#: Records in a stretch of time, about; a URL has as many there at most.
 STRETCH = 1_024
 
 RECORDS = "record_id bigint, url string, ts bigint, kind string, status int, headers map<string,string>, digest string"
@@ -52,7 +57,10 @@ def as_text(pairs: Column) -> Column:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Per revisit of ``records`` (see RECORDS): record_id, url (canonical), ts, response_id, outcome, headers, digest.
+    """Per not-modified revisit of ``records`` (see RECORDS): record_id, url (canonical), ts, response_id, outcome, headers, digest.
+
+    A revisit whose status isn't 304 is of an identical payload, not of one that the server calls unmodified; it is
+    left out, as are other kinds.
 
     ``outcome`` is ``resolved`` (validators agree), ``unverified`` (no validator in common), ``mismatch`` or
     ``orphan`` (no earlier full response: status 200 of kind response). Headers are the stored ones under the
@@ -61,21 +69,22 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     record_id counts. Records with a null url or ts match nothing: their revisits are orphans. Repeated rows are
     resolved alike. An empty table gives an empty result; other columns are not read.
 
-    A hot URL's records are cut into stretches of time. What a stretch inherits is found from one row for each
-    stretch and joins it as one more response, so no task holds more of a URL than a stretch.
+    Time is cut into stretches by quantiles of all records' times, so a hot URL's records are many groups and a stray
+    time makes no stretch larger. What a stretch inherits is found from one row for each stretch and joins it as one
+    more response, so no task holds more of a URL than a stretch.
     """
     pairs = _lowered(F.col("headers"))
     base = records.select("record_id", canonical_url(F.col("url")).alias("canon"), F.col("ts").cast("bigint").alias("ts"), "kind", "status", pairs.alias("pairs"), "digest")
-    span = base.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, width = span["lo"] or 0, max(1, ((span["hi"] or 0) - (span["lo"] or 0) + 1) * STRETCH // max(1, span["n"]))
+    points = split_points(base.select("ts"), base.count(), STRETCH)
+    not_modified = (F.col("kind") == "revisit") & F.coalesce(F.col("status") == 304, F.lit(False))
     full = F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("ts", "record_id", "digest", "pairs"))
-    dealt = base.withColumn("stretch", F.floor((F.col("ts") - F.lit(lo)) / F.lit(width))).withColumn("full", full)
-    dealt = dealt.where(F.col("full").isNotNull() | (F.col("kind") == "revisit"))
+    dealt = base.withColumn("stretch", place_among([F.col("ts")], points)).withColumn("full", full)
+    dealt = dealt.where(F.col("full").isNotNull() | not_modified)
     earlier = Window.partitionBy("canon").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     inherited = (
         dealt.where("canon is not null and ts is not null")
         .groupBy("canon", "stretch")
-        .agg(F.max("full").alias("most"), F.max(F.col("kind") == "revisit").alias("asks"))
+        .agg(F.max("full").alias("most"), F.max(not_modified).alias("asks"))
         .withColumn("full", F.max("most").over(earlier))
         .where("asks and full is not null")
     )
@@ -83,7 +92,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     guests = inherited.select("canon", "stretch", F.col("full.ts").alias("ts"), F.col("full.record_id").alias("record_id"), F.lit("guest").alias("kind"), F.col("full.pairs").alias("pairs"), "full")
     # Rows without a URL or time meet nobody; they are dealt by their id.
     loose = F.col("canon").isNull() | F.col("ts").isNull()
-    w = Window.partitionBy("canon", "stretch", F.when(loose, F.col("record_id"))).orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("canon", "stretch", F.when(loose, F.col("record_id"))).orderBy("ts", F.col("kind") != "revisit").rowsBetween(Window.unboundedPreceding, -1)  # at one time revisits come first
     asof = dealt.select(*columns).unionByName(guests.select(*columns)).withColumn("r", F.when(~loose, F.max("full").over(w))).where("kind = 'revisit'")
     stored = F.col("r.pairs")
     etags = (_tag(_value(stored, "etag")), _tag(_value(F.col("pairs"), "etag")))
@@ -132,47 +141,73 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
-
-
-def parse_warc(data: bytes) -> list[dict]:
-    """The response and revisit records of a WARC file, plain or gzipped: url, date, kind, status, headers, body."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    out, at = [], 0
-    while m := _HEAD.match(data, at):
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in m[1].decode("utf-8", "replace").split("\r\n"))}
-        block = data[m.end() : m.end() + int(fields.get("content-length", 0))]
-        at = m.end() + len(block) + 4
+#: Bytes that are read at once of a file, and the longest head of a record that is looked for.
+CHUNK, LONGEST_HEAD = 1 << 20, 1 << 20
+
+
+def _fields(lines: str) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines.split("\r\n"))}
+
+
+def parse_warc(stream) -> Iterator[dict]:
+    """The response and revisit records of a binary stream of a WARC file, plain or gzipped, as they are read:
+    record, url, date, kind, status, headers, body. What is no record is passed over to the next head."""
+    stream = io.BufferedReader(stream, CHUNK)
+    source = gzip.GzipFile(fileobj=stream) if stream.peek(2)[:2] == b"\x1f\x8b" else stream
+    held = b""
+    while True:
+        m = _HEAD.search(held)
+        if not m:
+            more = source.read(CHUNK)
+            if not more:
+                return
+            held = (held if len(held) < LONGEST_HEAD else held[-64:]) + more
+            continue
+        fields = _fields(m[1].decode("utf-8", "replace"))
+        length, block = fields.get("content-length", "0"), held[m.end() :]
+        size = int(length) if length.isdigit() and len(length) < 19 else 0
+        if len(block) < size:
+            block += source.read(size - len(block))
+        block, held = block[:size], block[size:]
         if fields.get("warc-type") in ("response", "revisit"):
             head, _, body = block.partition(b"\r\n\r\n")
-            first, *lines = head.decode("latin-1").split("\r\n")
+            first, _, lines = head.decode("latin-1").partition("\r\n")
             status = (first.split(" ") + ["", ""])[1]
-            out.append(
-                {
-                    "url": fields.get("warc-target-uri"),
-                    "date": fields.get("warc-date"),
-                    "kind": fields["warc-type"],
-                    "status": int(status) if status.isdigit() else None,
-                    "headers": {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)},
-                    "body": body,
-                }
-            )
-    return out
+            yield {
+                "record": fields.get("warc-record-id"),
+                "url": fields.get("warc-target-uri"),
+                "date": fields.get("warc-date"),
+                "kind": fields["warc-type"],
+                "status": int(status) if status.isdigit() and len(status) < 6 else None,
+                "headers": {k: v for k, v in _fields(lines).items() if k},
+                "body": body,
+            }
 
 
-def read_warc(spark, path: str) -> DataFrame:
-    """WARC files as rows (file, place, url, date, kind, status, headers, body), one task for each file."""
-    import pandas as pd
+WARC_ROWS = pa.schema([("file", pa.string()), ("place", pa.int32()), ("record", pa.string()), ("url", pa.string()), ("date", pa.string()), ("kind", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
 
-    from lodeline.llm.shared import ship
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """WARC files as rows (file, place, record, url, date, kind, status, headers, body), one task for each file.
+
+    A file is passed on as bytes by Spark's reader (so it has 2 GB at most) and unzipped piece by piece; a record is
+    sent on when it is read.
+    """
     ship(spark)
 
-    def run(frames):
-        for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
-                rows = [{"file": file, "place": i, **r} for i, r in enumerate(parse_warc(bytes(content)))]
-                if rows:
-                    yield pd.DataFrame(rows)
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                for i, r in enumerate(parse_warc(io.BytesIO(content.as_buffer()))):
+                    row = {"file": file, "place": i, **r, "headers": list(r["headers"].items())}
+                    yield pa.RecordBatch.from_pylist([row], schema=WARC_ROWS)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, place int, url string, date string, kind string, status int, headers map<string,string>, body binary")
+    kinds = "file string, place int, record string, url string, date string, kind string, status int, headers map<string,string>, body binary"
+    return files.mapInArrow(run, kinds)
+
+
+def records_of_warc(rows: DataFrame) -> DataFrame:
+    """``read_warc`` as RECORDS: record_id is a hash of file and place, ts the date in microseconds (null if it is none), digest of the body."""
+    when = F.unix_micros(F.try_to_timestamp("date"))
+    return rows.select(F.xxhash64("file", "place").alias("record_id"), "url", when.alias("ts"), "kind", "status", "headers", F.when(F.col("kind") == "response", F.sha2("body", 256)).alias("digest"))
