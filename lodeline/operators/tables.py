@@ -41,7 +41,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Removes the table that ``materialise`` wrote for this very DataFrame, if it did; nothing may read it any more."""
-    if path := getattr(df, "_table", None):
+    if path := df.__dict__.get("_table"):
         spark = df.sparkSession
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
