@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.shared import map_arrow, materialise, once, session, texts
+from lodeline.llm.shared import forget, map_arrow, materialise, once, session, texts
 
 #: A window: so many consecutive words of an item.
 WINDOW = 13
@@ -40,6 +40,13 @@ def word_spans(text: bytes) -> list[tuple[int, int]]:
     return [m.span() for m in _SPAN.finditer(text.translate(_FOLD))]
 
 
+def hit_spans(text: bytes, hit: np.ndarray) -> list[dict]:
+    """The stretches of hit words as places in the original text, in code points, end exclusive."""
+    place = np.cumsum(np.r_[False, (np.frombuffer(text, np.uint8) & 0xC0) != 0x80])  # code points before each byte
+    words, edges = word_spans(text), np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+    return [{"start": int(place[words[a][0]]), "end": int(place[words[b - 1][1]])} for a, b in edges.reshape(-1, 2).tolist()]
+
+
 class BenchmarkAutomaton:
     """Finds all windows of the given items in a text."""
 
@@ -75,18 +82,19 @@ def _automaton(shared):
     return once(key, lambda: BenchmarkAutomaton(items))
 
 
-def _shards(benchmark: DataFrame) -> list:
-    """The items, in one list or, beyond SHARD_WORDS, in several that are broadcast one after the other."""
-    spark = session(benchmark)
+def _shards(benchmark: DataFrame) -> list[DataFrame]:
+    """The items in one table or, beyond SHARD_WORDS, in several."""
+    session(benchmark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("n")).first()["n"] or 0
     count = max(1, -(-size // SHARD_WORDS))
-    out = []
-    for k in range(count):
-        part = items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        rows = [(r["item_id"], r["text"].encode("utf-8", "surrogatepass")) for r in part.toLocalIterator()]
-        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, rows)))
-    return out
+    return [items] if count == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count)]
+
+
+def _sent(shard: DataFrame):
+    """A shard's items, about SHARD_WORDS words, to all executors."""
+    rows = [(r["item_id"], r["text"].encode("utf-8", "surrogatepass")) for r in shard.toLocalIterator()]
+    return shard.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
 
 def _pack(hit: np.ndarray | None) -> bytes | None:
@@ -94,7 +102,9 @@ def _pack(hit: np.ndarray | None) -> bytes | None:
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
+
+    ``spans`` are the hit stretches of the original text, (start, end) in code points.
 
     Null and empty texts have no words and are never contaminated; a null item has no windows, an item without
     an id hits but isn't counted. Repeated rows are judged alike, an empty benchmark hits nothing, further
@@ -128,15 +138,19 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     pa.array(map(len, items), pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
                     pa.array([h > 0 and HIT_SHARE * h >= n for h, n in zip(n_hit, counts, strict=True)]),
+                    pa.array([[] if h is None else hit_spans(t, h) for t, h in zip(texts(batch["text"]), hits, strict=True)], pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))),
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
         return each
 
-    for shared in shards[:-1]:
+    for shard in shards[:-1]:
+        shared, before = _sent(shard), state
         state = materialise(map_arrow(state, step(shared, False), state.schema))
-    return map_arrow(state, step(shards[-1], True), f"doc_id {doc_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+        shared.unpersist()
+        forget(before)
+    return map_arrow(state, step(_sent(shards[-1]), True), f"doc_id {doc_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -150,9 +164,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         bad = benchmark_hits(docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"]), benchmark).where("contaminated").select(F.col("doc_id").alias("__digest"))
         return docs.join(bad, key == F.col("__digest"), "left_anti")
     session(docs)
+    shared = _sent(shards[0])
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automaton, keep = _automaton(shards[0]), []
+        automaton, keep = _automaton(shared), []
         for text in texts(batch["text"]):
             words = words_of(text)
             hit, _ = automaton.scan(words)

@@ -7,6 +7,7 @@ language the sum of its texts'. The language of a text is the one whose prototyp
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import numpy as np
@@ -14,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.shared import map_arrow, once, session, texts
+from lodeline.llm.shared import map_arrow, materialise, once, session, small_batches, texts
 
 DIMENSIONS = 1024
-#: Texts are bundled over all training rows; each task sends a vector for each language, of which there may be so many.
-MOST_LANGUAGES = 2_000
+#: Prototypes that are scored together; more languages are more blocks (4 KB a language in each worker).
+BLOCK = 2_000
 _BLANK = 32
 _MASK = (1 << 21) - 1
 
@@ -103,8 +104,11 @@ def _space() -> Space:
     return once("space", Space)
 
 
-def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes, of unit length, from all rows whose text and lang aren't null.
+Profiles = tuple[list[str], np.ndarray]
+
+
+def profiles(docs: DataFrame) -> list[Profiles]:
+    """Languages and their prototypes, of unit length, from all rows whose text and lang aren't null; in blocks, by name.
 
     A trigram's vector is the same everywhere, so tasks count trigrams by language, Spark sums the counts, and
     the sums are bundled: a language's vector is sent, never its texts.
@@ -113,7 +117,7 @@ def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches):
         sums: dict = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             space = _space()
             by_lang: dict = {}
             for text, lang in zip(texts(batch["text"]), batch["lang"].to_pylist(), strict=True):
@@ -129,42 +133,51 @@ def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     parts = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(count, "lang string, vector array<bigint>")
     # Whole numbers are summed, so the order in which tasks end changes nothing.
     total = parts.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
-    langs = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not langs:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
-    table = np.array([[p["x"] for p in r["v"]] for r in langs], dtype=np.float64)
+    total = materialise(total.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("v")))
     # What all languages share (blanks, common letters) tells nothing apart.
-    table -= table.mean(axis=0) * (len(langs) > 1)
-    norm = np.linalg.norm(table, axis=1, keepdims=True)
-    return [r["lang"] for r in langs], (table / np.where(norm, norm, 1)).astype(np.float32)
-
-
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    spread = total.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"), F.count(F.lit(1)).alias("n")).orderBy("at").collect()
+    mean = np.array([float(r["x"]) / r["n"] * (r["n"] > 1) for r in spread])
+    blocks: list[Profiles] = []
+    rows = total.orderBy("lang").toLocalIterator()
+    while some := list(itertools.islice(rows, BLOCK)):
+        table = np.array([r["v"] for r in some], dtype=np.float64) - mean
+        norm = np.linalg.norm(table, axis=1, keepdims=True)
+        blocks.append(([r["lang"] for r in some], (table / np.where(norm, norm, 1)).astype(np.float32)))
+    return blocks
+
+
+def nearest(rows: np.ndarray, blocks: list[Profiles]) -> tuple[list[str], np.ndarray]:
+    """The language of the largest cosine for each vector, and that cosine; of equal ones the first by name."""
+    norm = np.linalg.norm(rows, axis=1)
+    rows = rows / np.where(norm, norm, 1)[:, None]
+    names, top = ["und"] * len(rows), np.full(len(rows), -np.inf)
+    for langs, table in blocks:
+        cosine = rows @ table.T
+        best = cosine.argmax(axis=1)
+        found = cosine[np.arange(len(rows)), best]
+        for i in np.flatnonzero(found > top).tolist():
+            names[i], top[i] = langs[best[i]], found[i]
+    return names, top
+
+
+def identify(docs: DataFrame, model: list[Profiles]) -> DataFrame:
     """Per row of ``docs``: doc_id, lang_pred, score; score is the cosine, moved from -1..1 to 0..1.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text when there is no profile.
     Ties go to the first language by name. Repeated rows are judged alike; an empty table gives an empty result;
     other columns are not read.
     """
-    shared = session(docs).sparkContext.broadcast((uuid.uuid4().hex, *model))
+    context = session(docs).sparkContext
+    shared = [context.broadcast((uuid.uuid4().hex, block)) for block in model]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, names, table = shared.value
         counted = [trigrams(t.decode("utf-8", "replace")) for t in texts(batch["text"])]
-        rows = _space().bundle(counted)
-        norm = np.linalg.norm(rows, axis=1)
-        if len(names):
-            cosine = rows @ table.T / np.where(norm, norm, 1)[:, None]
-            best, top = cosine.argmax(axis=1), cosine.max(axis=1)
-        else:
-            best, top = np.zeros(len(rows), int), np.full(len(rows), -1.0)
-        told = [bool(len(g)) and bool(len(names)) for g, _ in counted]
+        names, top = nearest(_space().bundle(counted), [b.value[1] for b in shared])
+        told = [bool(len(g)) and bool(shared) for g, _ in counted]
         return pa.record_batch(
             [
                 batch["doc_id"],
-                pa.array([names[b] if ok else "und" for b, ok in zip(best, told, strict=True)]),
+                pa.array([name if ok else "und" for name, ok in zip(names, told, strict=True)]),
                 pa.array([min(1.0, max(0.0, (1 + float(c)) / 2)) if ok else 0.0 for c, ok in zip(top, told, strict=True)]),
             ],
             ["doc_id", "lang_pred", "score"],

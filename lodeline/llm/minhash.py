@@ -7,6 +7,10 @@ coordinate has a dart, so a document costs about t log t darts whatever its leng
 
 Documents that agree on a band of coordinates meet in a bucket, where their shingle sets are compared exactly.
 A bucket emits links that span what it found, never all pairs; classes are the links' components.
+
+A large bucket is cut in blocks. Each of its members is compared in its own block and with a few pivots that all
+blocks share, which joins a group of near copies whatever its size. Only the members that this leaves outside their
+bucket's largest class are compared with the other blocks, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -19,14 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.shared import materialise, session, texts
+from lodeline.llm.shared import materialise, session, small_batches, texts
 
 #: Words of a shingle and the least similarity of near duplicates, as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
 #: A pair of similarity 0.8 is missed by all bands with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in 100 000.
 BANDS, ROWS = 20, 4
-#: Members of a bucket that are compared in one task; larger buckets are cut in blocks, compared two by two.
+#: Members of a bucket that are compared together; larger buckets are cut in blocks.
 BLOCK = 400
+#: Members of a large bucket, about, that are compared with all others.
+PIVOTS = 8
 #: Ids that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -124,7 +130,7 @@ def signatures(docs: DataFrame, weigh: str = "presence", bands: int = BANDS, row
     """(doc_id, digest, keys) of rows with an id and a word. ``weigh``: a shingle's weight is 1 (presence), or its count."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, digests, keys = [], [], []
             for doc, text in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), strict=True):
                 if doc is None or not (words := text.split()):
@@ -177,7 +183,7 @@ def similar(sets: list[np.ndarray], least: tuple[int, int] = SIMILAR) -> np.ndar
 
 
 def _link(batches):
-    """Rows sorted by bucket to links (a, b), b the least document of a's part of the bucket."""
+    """Rows sorted by bucket and part to links (a, b), b the least document of a's part of the bucket."""
 
     def links(ids, bodies):
         order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
@@ -186,11 +192,11 @@ def _link(batches):
 
     now, ids, bodies, out = None, [], [], []
     for batch in batches:
-        for key, pair, doc, text in zip(*(batch[c].to_pylist() for c in ("key", "pair", "doc_id")), texts(batch["text"]), strict=True):
-            if (key, pair) != now:
+        for key, part, doc, text in zip(*(batch[c].to_pylist() for c in ("key", "part", "doc_id")), texts(batch["text"]), strict=True):
+            if (key, part) != now:
                 if len(ids) > 1:
                     out += links(ids, bodies)
-                now, ids, bodies = (key, pair), [], []
+                now, ids, bodies = (key, part), [], []
             ids.append(doc)
             bodies.append(text)
         if len(out) > 10_000:
@@ -233,10 +239,45 @@ def _blocks(count: Column) -> Column:
     return F.ceil(count / BLOCK).cast("bigint")
 
 
-def _pairs(doc_id: Column, count: Column) -> Column:
-    """Numbers of the pairs of blocks, of a bucket of ``count`` members, in which a member's own block is; a member is copied once for each."""
-    own = F.pmod(F.xxhash64(doc_id), _blocks(count))
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), _blocks(count) - 1), lambda j: F.least(own, j) * 2**31 + F.greatest(own, j))
+def _own_block(doc_id: Column, count: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), _blocks(count))
+
+
+def _parts(key: Column, doc_id: Column, count: Column) -> Column:
+    """Parts of a bucket of ``count`` members in which a member is compared: its own block, or all for a pivot."""
+    own = _own_block(doc_id, count)
+    pivot = F.pmod(F.xxhash64(key, doc_id), count) < PIVOTS
+    return F.when((count <= BLOCK) | ~pivot, F.array(own)).otherwise(F.sequence(F.lit(0).cast("bigint"), _blocks(count) - 1))
+
+
+def _links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) within each part of ``members`` (key, part, doc_id, digest)."""
+    wanted = members.select("doc_id", "digest").distinct()
+    bodies = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
+    bodies = with_ids(bodies, wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    met = members.join(bodies, ["doc_id", "digest"]).select("key", "part", "doc_id", "text")
+    return met.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_link, "a bigint, b bigint")
+
+
+def _leftover(hot: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, part, doc_id, digest) of large buckets ``hot`` (key, doc_id, digest, n): those outside their bucket's largest
+    class by ``root`` (node, root), with the members that they may still be like.
+
+    A member left over is a guest of all blocks, BLOCK guests to a part; the other members stay in their own block.
+    Guests meet each other as a guest meets the block of the other.
+    """
+    classed = hot.join(root, hot["doc_id"] == root["node"], "left").select("key", "doc_id", "digest", "n", F.coalesce("root", "doc_id").alias("class"))
+    classed = materialise(classed)
+    sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "class")).alias("m"), F.sum("c").alias("all"))
+    sizes = sizes.where("all > m.c").select("key", F.col("m.class").alias("main"), (F.col("all") - F.col("m.c")).alias("guests"))
+    open_ones = classed.join(sizes, "key")
+    groups = F.ceil(F.col("guests") / BLOCK)
+    group = F.pmod(F.xxhash64("doc_id", F.lit("guest")), groups)
+    blocks, own = F.sequence(F.lit(0).cast("bigint"), _blocks(F.col("n")) - 1), _own_block(F.col("doc_id"), F.col("n"))
+    each_group = F.sequence(F.lit(0).cast("bigint"), groups - 1)
+    stay = open_ones.select("key", "doc_id", "digest", F.explode(F.transform(each_group, lambda g: own * 2**31 + g)).alias("part"))
+    visit = open_ones.where(F.col("class") != F.col("main")).select("key", "doc_id", "digest", F.explode(F.transform(blocks, lambda b: b * 2**31 + group)).alias("part"))
+    return stay.union(visit).distinct().select("key", "part", "doc_id", "digest")
 
 
 def near_classes(docs: DataFrame, weigh: str = "presence") -> DataFrame:
@@ -257,12 +298,14 @@ def near_classes(docs: DataFrame, weigh: str = "presence") -> DataFrame:
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), print_of.alias("same"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1")
     # Bands that gather the same documents compare them once.
     buckets = buckets.groupBy("n", "same", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n")
-    members = materialise(keyed.join(buckets, "key").select("key", "doc_id", "digest", F.explode(_pairs(F.col("doc_id"), F.col("n"))).alias("pair")))
-    wanted = members.select("doc_id", "digest").distinct()
-    bodies = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
-    bodies = with_ids(bodies, wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    met = members.join(bodies, ["doc_id", "digest"]).select("key", "pair", "doc_id", "text")
-    links = met.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_link, "a bigint, b bigint")
+    met = materialise(keyed.join(buckets, "key").select("key", "doc_id", "digest", "n"))
+    members = met.select("key", "doc_id", "digest", F.explode(_parts(F.col("key"), F.col("doc_id"), F.col("n"))).alias("part"))
+    links, hot = _links(members, docs), met.where(F.col("n") > BLOCK)
+    if not hot.isEmpty():
+        links = materialise(links)
+        rest = materialise(_leftover(hot, components(links)))
+        if not rest.isEmpty():
+            links = links.union(materialise(_links(rest, docs)))
     copies = signed.join(first.select("digest", F.col("doc_id").alias("b")), "digest").select(F.col("doc_id").alias("a"), "b").distinct()
     # Copies hang on their text's first document, links join those; a doc_id with several texts joins them, too.
     twice = copies.where("a <> b").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()

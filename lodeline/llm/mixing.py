@@ -1,8 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A document of a source whose target is r times its size is taken floor(r) times for certain. What is left of
-the target is a sample without replacement: documents are ranked by the odds of a random number over the odds
-of their inclusion, and taken in that order up to the size that is left.
+the target is a sample without replacement, in which a document is included with a probability that grows with the
+number of binary digits of its size, so that fragments are taken less often than whole articles; in a source the
+probabilities are scaled to an expected size of what is left, and those that would pass 1 are certain. Documents are
+ranked by the odds of a random number over the odds of their inclusion, and taken in that order up to the size that
+is left.
 """
 
 from __future__ import annotations
@@ -55,6 +58,34 @@ def _uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + 0.5) / F.lit(float(2**52))
 
 
+def _size_class(size: Column) -> Column:
+    """Binary digits of a size, 1 for 0: what a document's inclusion is in proportion to."""
+    return F.length(F.bin(size)).cast("bigint")
+
+
+def _inclusion_levels(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``level``: a document of size class k is included with probability min(1, k * level), so that the
+    expected size is what is left of the source's target.
+
+    Classes are capped from the largest on: the level is that of the fewest capped classes at which no other passes
+    1. There are at most 63 rows for each source.
+    """
+    classes = sized.groupBy(F.col("source").alias("c"), _size_class(F.col("size")).alias("k")).agg(F.sum("size").alias("in_class"))
+    largest_first = Window.partitionBy("c").orderBy(F.desc("k"))
+    capped = F.coalesce(F.sum("in_class").over(largest_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    free = F.sum(F.col("k") * F.col("in_class")).over(largest_first.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    levels = (
+        classes.join(plan.where("ratio > floor(ratio)"), F.col("c").eqNullSafe(F.col("s")))
+        .select("c", "k", "left", capped.alias("capped"), free.alias("free"))
+        .where("free > 0")
+        .withColumn("level", (F.col("left") - F.col("capped")) / F.col("free"))
+        .where("level * k <= 1")
+        .groupBy("c")
+        .agg(F.max_by("level", "k").alias("level"))
+    )
+    return plan.join(levels, F.col("s").eqNullSafe(F.col("c")), "left").drop("c")
+
+
 def _decided(docs: DataFrame, weights: tuple, most: int, seed: str, carry: bool) -> DataFrame:
     """With ``carry`` row (a struct of all columns of ``docs``); doc_id, source, size, source_size, target, copies, taken."""
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -62,23 +93,24 @@ def _decided(docs: DataFrame, weights: tuple, most: int, seed: str, carry: bool)
     whole = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")) if carry else sized
     few = sized.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     side = F.broadcast if few else (lambda df: df)
-    plan = source_targets(sized, weights, most).select(
+    targets = source_targets(sized, weights, most).select(
         F.col("source").alias("s"),
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("ratio"),
     )
+    whole_copies = F.floor("ratio").cast("bigint")
+    targets = targets.withColumn("whole", whole_copies).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = materialise(_inclusion_levels(sized, targets))  # a row for each source
     u = _uniform(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string")), seed)
-    share = F.col("ratio") - F.floor("ratio")
-    # Random odds over inclusion odds; within a source all are included alike, sources differ.
-    pareto = (u / (1 - u)) / (share / (1 - share))
+    inclusion = F.least(F.lit(1.0), _size_class(F.col("size")) * F.col("level"))
+    # Random odds over inclusion odds.
+    pareto = (u / (1 - u)) * ((1 - inclusion) / inclusion)
 
     def rank(rows: DataFrame) -> DataFrame:
         return (
             rows.join(side(plan), F.col("source").eqNullSafe(F.col("s")))
-            .withColumn("whole", F.floor("ratio").cast("bigint"))
-            .withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-            .withColumn("q", F.when(share > 0, pareto))
+            .withColumn("q", F.when(F.col("level").isNotNull(), pareto))
             .withColumn("bin", F.when(F.col("q").isNotNull(), F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int")))
             .drop("s", "ratio")
         )

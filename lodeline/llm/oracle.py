@@ -72,8 +72,13 @@ r AS (SELECT doc_id, source, size, source_size, target,
       CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS ratio,
       (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(size AS VARCHAR) || ':mix'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.s),
-q AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS share FROM r),
-p AS (SELECT *, target - whole * source_size AS rest, (u / (1 - u)) / (share / (1 - share)) AS q FROM q WHERE share > 0),
+q AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS share, target - CAST(floor(ratio) AS BIGINT) * source_size AS rest, CAST(len(bin(size)) AS BIGINT) AS k FROM r),
+k AS (SELECT source, k, any_value(rest) AS rest, CAST(sum(size) AS BIGINT) AS in_class FROM q WHERE share > 0 GROUP BY source, k),
+v AS (SELECT *, (rest - CAST(coalesce(sum(in_class) OVER (PARTITION BY source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
+      / CAST(nullif(sum(k * in_class) OVER (PARTITION BY source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS level FROM k),
+i AS (SELECT source AS s, arg_max(level, k) AS level FROM v WHERE level * k <= 1 GROUP BY source),
+n AS (SELECT q.*, least(1.0::DOUBLE, k * level) AS inclusion FROM q JOIN i ON q.source IS NOT DISTINCT FROM i.s WHERE share > 0),
+p AS (SELECT *, (u / (1 - u)) * ((1 - inclusion) / inclusion) AS q FROM n),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM p),
 extra AS (SELECT doc_id, size FROM c WHERE upto <= rest OR (upto - size < rest AND upto - rest <= size / 2))
 SELECT q.doc_id, q.size, source_size, target, (whole + CASE WHEN extra.doc_id IS NULL THEN 0 ELSE 1 END) * q.size AS taken

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.operators.shipping import ship
-from lodeline.operators.tables import materialise, shared_folder
+from lodeline.operators.tables import forget, materialise, shared_folder
 
-__all__ = ["WORD", "held_out", "in_training", "labelled_rows", "labelled_sample", "labels_per_row", "map_arrow", "materialise", "once", "place_among", "session", "shared_folder", "ship", "split_points", "texts"]
+__all__ = ["WORD", "forget", "held_out", "in_training", "labelled_rows", "labelled_sample", "labels_per_row", "map_arrow", "materialise", "once", "place_among", "session", "shared_folder", "ship", "split_points", "texts"]
 
 #: ASCII blanks; ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"

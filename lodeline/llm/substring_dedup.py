@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.shared import map_arrow, materialise, session, texts
+from lodeline.llm.shared import map_arrow, materialise, session, small_batches, texts
 
 #: Words of a window.
 LENGTH = 13
@@ -33,8 +33,9 @@ K = 5
 HOT, HOT_SHARE = 200, 20_000
 #: Anchors that a task gathers before it sends them.
 GATHER = 1_500_000
-#: Rows by which anchors are dealt; Spark groups them into its shuffle partitions.
-DEALS = 2_048
+#: Keys by which anchors are dealt, at least, and documents for each at most; Spark groups the keys into its shuffle
+#: partitions, of which there can be as many as keys.
+DEALS, DEAL_DOCS = 2_048, 50_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -139,7 +140,7 @@ def _cuts(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at.tolist(), [*at[1:].tolist(), len(sorted_keys)], strict=True))
 
 
-def _deal_anchors(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+def _deal_anchors(h: np.ndarray, doc: np.ndarray, keys: int = DEALS) -> pa.RecordBatch:
     """A task's (anchor, document) pairs, each once, as rows of packed numbers by deal.
 
     An anchor that two of these documents share is settled for them: those pairs go along apart, evenly dealt,
@@ -153,24 +154,24 @@ def _deal_anchors(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     one_h, one_doc = h[first], doc[first]
     several = np.zeros(len(count), bool)
     several[group[1:][~first[1:] & (doc[1:] != doc[:-1])]] = True
-    deals = (one_h >> np.uint64(40)).astype(np.int64) % DEALS
+    deals = (one_h >> np.uint64(24)).astype(np.int64) % keys
     by = np.argsort(deals, kind="stable")
     rows = [(int(deals[by[a]]), one_h[by[a:b]], one_doc[by[a:b]], np.where(several, count, 1)[by[a:b]].astype(np.int32), False) for a, b in _cuts(deals[by])]
     settled_h, settled_doc = h[several[group]], doc[several[group]]
     for a in range(0, len(settled_h), 2_000):
-        rows.append((int(settled_h[a] % np.uint64(DEALS)), settled_h[a : a + 2_000], settled_doc[a : a + 2_000], np.zeros(0, np.int32), True))
+        rows.append((int(settled_h[a] % np.uint64(keys)), settled_h[a : a + 2_000], settled_doc[a : a + 2_000], np.zeros(0, np.int32), True))
     return pa.record_batch(
         [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3)), pa.array([r[4] for r in rows])],
         ["deal", "h", "doc", "count", "settled"],
     )
 
 
-def _shared_anchors(docs: DataFrame, hot: int) -> tuple[DataFrame, np.ndarray]:
+def _shared_anchors(docs: DataFrame, hot: int, keys: int = DEALS) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, anchors): anchors of a document that another document has too, in one row or more; and the anchors in more than ``hot`` documents."""
 
     def gather(batches):
         held, ids, size = [], [], 0
-        for batch in batches:
+        for batch in small_batches(batches):
             for doc, text in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), strict=True):
                 h = np.unique(runs(text.split())[0])
                 if len(h) and doc is not None:
@@ -178,10 +179,10 @@ def _shared_anchors(docs: DataFrame, hot: int) -> tuple[DataFrame, np.ndarray]:
                     ids.append(np.full(len(h), doc, np.int64))
                     size += len(h)
             if size >= GATHER:
-                yield _deal_anchors(np.concatenate(held), np.concatenate(ids))
+                yield _deal_anchors(np.concatenate(held), np.concatenate(ids), keys)
                 held, ids, size = [], [], 0
         if size:
-            yield _deal_anchors(np.concatenate(held), np.concatenate(ids))
+            yield _deal_anchors(np.concatenate(held), np.concatenate(ids), keys)
 
     def settle(batches):
         new, pairs = [], []
@@ -231,7 +232,7 @@ def _passages(batches, hottest: np.ndarray):
     Of equal passages in a task only the first document's goes on; it alone may be the corpus' first.
     """
     held: dict = {}
-    for batch in batches:
+    for batch in small_batches(batches):
         for doc, text, anchors in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), batch["anchors"].to_pylist(), strict=True):
             if not anchors:
                 continue
@@ -281,8 +282,8 @@ _PASSAGE = ["route", "anchor", "doc_id", "digest", "starts", "passage", "spans"]
 def _repeated(passages: list[bytes], least: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
     """For each distinct passage of a shard its windows, by start, with the least document that has them.
 
-    The passages are the reference and what is streamed over it. Above REFERENCE passages, which a hot but not
-    the hottest anchor can have, the automaton would take too much memory and windows are looked up one by one.
+    The passages are the reference and what is streamed over it. A shard of more than REFERENCE passages, which a hot
+    but not the hottest anchor can have, is dealt into smaller ones by the windows' content.
     """
     if len(passages) == 1:
         return {passages[0]: [(i, least[passages[0]]) for i in range(passages[0].count(b" ") + 2 - LENGTH)]}
@@ -290,19 +291,24 @@ def _repeated(passages: list[bytes], least: dict[bytes, int]) -> dict[bytes, lis
     if len(passages) <= REFERENCE:
         automaton = SuffixAutomaton([(w, least[p]) for p, w in split.items()])
         return {p: list(automaton.matching(w, LENGTH)) for p, w in split.items()}
+    windows = {p: [w[i : i + LENGTH] for i in range(len(w) - LENGTH + 1)] for p, w in split.items()}
+    shards: list[list] = [[] for _ in range(-(-sum(map(len, windows.values())) // REFERENCE))]
+    for p, some in windows.items():
+        for window in some:
+            shards[xxhash.xxh64_intdigest(b" ".join(window)) % len(shards)].append((window, least[p]))
     first: dict = {}
-    for p, w in split.items():
-        for i in range(len(w) - LENGTH + 1):
-            at = w[i : i + LENGTH]
-            first[at] = min(first.get(at, least[p]), least[p])
-    return {p: [(i, first[w[i : i + LENGTH]]) for i in range(len(w) - LENGTH + 1)] for p, w in split.items()}
+    for shard in shards:
+        automaton = SuffixAutomaton(shard)
+        for window in {w for w, _ in shard}:
+            first[window] = next(automaton.matching(window, LENGTH))[1]
+    return {p: [(i, first[window]) for i, window in enumerate(some)] for p, some in windows.items()}
 
 
-#: Passages in one automaton at most.
+#: Passages, or windows, in one automaton, about.
 REFERENCE = 3_000
 
 
-def _resolve(batches):
+def _resolve(batches, keys: int = DEALS):
     """Passages that share an anchor to spans, packed by bucket of documents: a task sends a row for each bucket, not for each document."""
     groups: dict = {}
     out: dict = {}
@@ -324,7 +330,7 @@ def _resolve(batches):
         out.setdefault(row, []).append(_spans(sorted(set(starts))))
     buckets: dict = {}
     for row in out:
-        buckets.setdefault(row[0] * 2_654_435_761 % 2**61 % DEALS, []).append(row)
+        buckets.setdefault(row[0] * 2_654_435_761 % 2**61 % keys, []).append(row)
     keys = list(buckets)
     for at in range(0, len(keys), 1_000):
         some = keys[at : at + 1_000]
@@ -380,7 +386,9 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, digests, sizes, spans): of each text of a doc_id pairs of 32-bit word numbers, start and end, of what is removed; spans may overlap."""
     session(docs)
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found, hottest = _shared_anchors(chosen, max(HOT, chosen.count() // HOT_SHARE))
+    count = chosen.count()
+    keys = max(DEALS, count // DEAL_DOCS)
+    found, hottest = _shared_anchors(chosen, max(HOT, count // HOT_SHARE), keys)
     anchors = found.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
     shared = docs.sparkSession.sparkContext.broadcast(hottest)
 
@@ -389,7 +397,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     # A left join, as in ``deduplicate``, so that both read the texts from one exchange.
     joined = chosen.join(anchors, "doc_id", "left").mapInArrow(passages, "route bigint, anchor bigint, doc_id bigint, digest bigint, starts binary, passage binary, spans binary")
-    packed = joined.repartition("route").mapInArrow(_resolve, "bucket int, docs binary, digests binary, sizes binary, spans binary")
+    packed = joined.repartition("route").mapInArrow(lambda batches: _resolve(batches, keys), "bucket int, docs binary, digests binary, sizes binary, spans binary")
     return packed.repartition("bucket").mapInArrow(_unpack, "doc_id bigint, digests binary, sizes binary, spans binary")
 
 

@@ -164,7 +164,7 @@ class _Sample:
 
 
 def train_features(rows: list[Row] | _Sample, settings: Settings = Settings(), per_row: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
-    """Weights and intercept from (features, counterfactual's features, label); no rows give zeros, so every score is one half.
+    """Weights and intercept from (features, counterfactual's features, label); with no rows nothing is known to be toxic and every score is near 0.
 
     ``per_row``: how many labels a row of either class stands for.
     Full-batch proximal AdaGrad with L1 over the features that tell the classes apart and those of the group terms,
@@ -172,7 +172,7 @@ def train_features(rows: list[Row] | _Sample, settings: Settings = Settings(), p
     """
     weights = np.zeros(1 << BITS, np.float32)
     if not rows:
-        return weights, 0.0
+        return weights, -30.0
     sample = rows if isinstance(rows, _Sample) else _Sample(rows)
     chosen = sample.chosen(settings)
     at = np.flatnonzero(chosen)

@@ -139,3 +139,54 @@ def test_weights_are_kept(spark, monkeypatch):
         monkeypatch.setattr(pii, "_HERE", set())
         assert pii.weights_for(rows)["w"].tolist() == [1, 1, 1]
     assert len(made) == 1
+
+
+# ---------------------------------------------------------------- the pipeline's stages
+
+
+def odd_documents(spark):
+    r = random.Random(30)
+    text = " ".join(f"w{r.randint(0, 900)}" for _ in range(40))
+    rows = [(1, text, "en", "a", 9), (2, text + " end", "en", None, 9), (2, None, None, None, None), (None, text, "en", "a", 9), (3, "", "en", "b", 0), (3, "", "en", "b", 0), (ENDS[0], "call +1 (826) 555-4081 now", "en", "b", 1), (ENDS[1], "x" * 2_000_000, "en", "b", 2_000_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return df.withColumns({n: F.lit("clash") for n in ("score", "size", "copies_", "key", "digest", "label", "rank", "row", "s", "c", "k", "level", "n", "part", "class", "node", "root", "spans")})
+
+
+def test_stages_take_empty_and_odd_tables(spark, tmp_path):
+    """No rows give no rows; nulls, empty and very long texts, repeated rows and clashing names go through as documented."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing like it"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd_documents(spark)
+    kept = {"toxicity": 8, "near_dedup": 5, "decontamination": 8, "personal_data": 8}
+    for name, stage in pipeline.STAGES:
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and set(docs.columns) <= set(none.columns)
+        some = stage(spark, docs, str(tmp_path))
+        rows = some.collect()
+        assert set(docs.columns) <= set(some.columns) and all(x["score"] == "clash" for x in rows)
+        if name in kept:
+            assert len(rows) == kept[name], name
+    masked = {x["doc_id"]: x for x in pipeline.mask_personal_data(spark, docs, str(tmp_path)).collect()}
+    assert masked[ENDS[0]]["text"] == "call <phone> now" and masked[ENDS[0]]["n_chars"] == 16
+
+
+def test_operators_take_very_long_texts_and_the_ends_of_ids(spark):
+    from lodeline.llm import decontaminate, langid, minhash, mixing, quality, substring_dedup, toxicity
+
+    docs = odd_documents(spark)
+    bench = docs.select(F.col("doc_id").alias("item_id"), "text").where("doc_id = 1")
+    labels = spark.createDataFrame([(1, 1, 0), (ENDS[0], 0, 1)], "doc_id bigint, quality int, toxic int")
+    ids = sorted(str(x["doc_id"]) for x in docs.collect())
+    for found in (
+        substring_dedup.deduplicate(docs),
+        pii.personal_data(docs),
+        decontaminate.benchmark_hits(docs, bench),
+        winnow.fingerprints(docs),
+        quality.score(docs, quality.fit(docs, labels)),
+        langid.identify(docs, langid.profiles(docs)),
+        mixing.mix(docs),
+        toxicity.score(docs, toxicity.fit(docs, labels)),
+    ):
+        assert sorted(str(x["doc_id"]) for x in found.collect()) == ids, found.columns
+    assert sorted(x["doc_id"] for x in minhash.near_classes(docs).collect()) == [ENDS[0], 1, 2, 3, ENDS[1]]

@@ -110,7 +110,7 @@ def test_suffix_automaton():
     assert dict(automaton.matching(probe, n)) == want
 
 
-def test_large_groups_without_automaton(monkeypatch):
+def test_large_groups_are_dealt(monkeypatch):
     passages = [b" ".join(b"%d" % (i + k) for k in range(16)) for i in range(6)]
     least = {p: 9 - i for i, p in enumerate(passages)}
     whole = substring_dedup._repeated(passages, least)
@@ -242,6 +242,8 @@ def test_benchmark_hits(spark, monkeypatch, shard):
     got = {x["doc_id"]: tuple(x[c] for c in columns) for x in decontaminate.benchmark_hits(clashing(docs(spark, texts)), bench).collect()}
     want = brute_hits(texts, items)
     assert [got[i] for i in range(len(texts))] == want
+    spans = {x["doc_id"]: x["spans"] for x in decontaminate.benchmark_hits(docs(spark, texts), bench).collect()}
+    assert [len(decontaminate.words_of(" ".join(texts[i][s["start"] : s["end"]] for s in spans[i]).encode())) for i in range(len(texts))] == [w[1] for w in want]
     kept = decontaminate.drop_contaminated(docs(spark, texts), bench)
     assert sorted(x["doc_id"] for x in kept.collect()) == [i for i, w in enumerate(want) if not w[4]]
     assert decontaminate.benchmark_hits(docs(spark, texts), bench.limit(0)).where("contaminated").count() == 0
@@ -250,6 +252,8 @@ def test_benchmark_hits(spark, monkeypatch, shard):
 def test_offsets_map_to_the_original():
     text = "Ab, cd—É 12".encode()
     assert [text[a:b] for a, b in decontaminate.word_spans(text)] == [b"Ab", "cd—É".encode(), b"12"]
+    spans = decontaminate.hit_spans(text, np.array([False, True, True]))
+    assert [text.decode()[s["start"] : s["end"]] for s in spans] == ["cd—É 12"]
 
 
 # ---------------------------------------------------------------- 4 WARC
@@ -452,7 +456,7 @@ def test_languages(spark):
 def test_language_edges(spark):
     rows = spark.createDataFrame([(0, "the cat", "en"), (1, "der hund", "de"), (2, None, "en"), (3, "x", None)], "doc_id bigint, text string, lang string")
     model = langid.profiles(rows)
-    assert model[0] == ["de", "en"]
+    assert [langs for langs, _ in model] == [["de", "en"]]
     got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(clashing(docs(spark, [None, "", "12 34!", "the cats", "der hunde", "a"])), model).collect()}
     assert [got[i] for i in range(5)] == ["und", "und", "und", "en", "de"] and got[5] in ("en", "de")
     empty = langid.profiles(rows.limit(0))
@@ -567,7 +571,7 @@ def test_mix(spark):
         mine = [x for x in rows if x["source"] == s]
         assert all(x["target"] == pytest.approx(targets[s]) and x["source_size"] == sizes[s] and x["taken"] <= 3 * x["size"] for x in mine)
         assert abs(sum(x["taken"] for x in mine) - targets[s]) <= 40
-        copies = {x["copies"] for x in mine if x["size"]}
+        copies = {x["copies"] for x in mine}
         assert max(copies) - min(copies) <= 1
     again = {x["doc_id"]: x["taken"] for x in mixing.mix(table.repartition(7)).collect()}
     assert again == {x["doc_id"]: x["taken"] for x in rows}

@@ -38,8 +38,37 @@ def test_spans_go_to_their_own_text(spark, monkeypatch, hot):
     assert got == [(1, 20, 0, "p0 "), (7, 29, 20, "c0 "), (7, 30, 0, "b0 "), (7, 80, 20, "a0 "), (9, 30, 30, "")]
 
 
-def test_pairs_of_very_many_blocks(spark):
-    """A bucket of 3 000 blocks: each pair of blocks has a number of its own, and two members meet in one."""
-    rows = spark.range(20).select(minhash._pairs(F.col("id"), F.lit(3_000 * minhash.BLOCK)).alias("pairs")).collect()
-    sets = [set(r["pairs"]) for r in rows]
-    assert {len(s) for s in sets} == {3_000} and all(len(a & b) == 1 for i, a in enumerate(sets) for b in sets[:i] if a != b)
+def hot_texts(r, n, groups):
+    """Near copies of few texts that share most of their shingles, and chains in which only neighbours are alike."""
+    base = [f"w{i}" for i in range(60)]
+    out = []
+    for g in range(groups):
+        for _ in range(n):
+            words = list(base)
+            words[50 + g % 10] = f"g{g}"
+            words[r.randrange(60)] = f"x{r.randint(0, 9)}"
+            out.append(" ".join(words))
+    now = list(base)
+    for i in range(40):  # each step changes one word, the ends have little in common
+        now[(i * 7) % 60] = f"c{i}"
+        out.append(" ".join(now))
+    return out
+
+
+@pytest.mark.parametrize("pivots", [0, 1, 8])
+def test_large_buckets_lose_no_link(spark, monkeypatch, pivots):
+    """Blocks of 5 members; with no pivots all members but one block's may be left over."""
+    from test_llm import brute_classes, docs
+
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
+    texts = hot_texts(random.Random(5), 30, 3)
+    got = {x["doc_id"]: x["class_id"] for x in minhash.near_classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_a_large_group_of_near_copies_moves_each_text_once(spark):
+    """Parts of a bucket of 2 000 blocks: one for each member but the few pivots."""
+    n = 2_000 * minhash.BLOCK
+    rows = spark.range(20_000).select(F.size(minhash._parts(F.lit(7), F.col("id"), F.lit(n))).alias("parts")).groupBy("parts").count().collect()
+    assert {r["parts"] for r in rows} <= {1, 2_000} and sum(r["count"] for r in rows if r["parts"] > 1) <= 5
