@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeline import rust_catalog
 from lodeline.functions import paths
 from lodeline.operators import graph, liveness, resolve, snapshot
 from lodeline.plans import detectors
-from lodeline.rust.facts import extract
+from lodeline.rust_catalog import parsed
 from lodeline.sinks import export
 from lodeline.streaming import reanalyze
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(rust_catalog.QUERIES)
+SQL: dict[str, str] = dict(rust_catalog.SQL)
 
 
 def query(sql: str | None):
@@ -307,21 +308,6 @@ def path_segments(spark, sf_dir):
     return pages.select("page_id", F.regexp_extract("path", "([^/]*)$", 1).alias("stem"), paths.depth(F.col("path")).alias("depth"), F.array_join(paths.parent(F.split("path", "/")), "::").alias("parent"))
 
 
-@query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS ref FROM pages""")
-def html_refs(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("ref"))
-
-
-@query(r"""WITH p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) AS lang FROM pages)
-SELECT host AS name, '' AS parent, 0 AS depth, count(*) AS pages FROM p GROUP BY host UNION ALL
-SELECT host || '/' || lang, host, 1, count(*) FROM p WHERE lang <> '' GROUP BY host, lang""")
-def cluster_tree(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1).alias("lang"))
-    hosts = pages.groupBy(F.col("host").alias("name")).agg(F.count(F.lit(1)).alias("pages")).select("name", F.lit("").alias("parent"), F.lit(0).alias("depth"), "pages")
-    below = pages.where("lang <> ''").groupBy("host", "lang").agg(F.count(F.lit(1)).alias("pages"))
-    return hosts.unionByName(below.select(F.concat("host", F.lit("/"), "lang").alias("name"), F.col("host").alias("parent"), F.lit(1).alias("depth"), "pages"))
-
-
 @query("SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY p_name")
 def stem_collision_dedup(spark, sf_dir):
     return liveness.last_writer(table(spark, sf_dir, "part").select("p_name", "p_partkey"), ["p_name"], ["p_partkey"])
@@ -393,10 +379,13 @@ def cross_group_prefix(spark, sf_dir):
     return liveness.stats(liveness.with_dead_flag(nodes, dead, ["id"]), ["p_type"])
 
 
-@query("SELECT p_partkey FROM part WHERE p_name = 'red widget' OR starts_with(p_type, 'ECON') OR contains(p_name, 'bolt')")
+@query("SELECT p_partkey FROM part WHERE p_name = 'red widget' OR p_size % 5 = 1 OR contains(p_type, 'ECON')")
 def entry_points(spark, sf_dir):
-    named = F.col("p_name") == "red widget"
-    return table(spark, sf_dir, "part").where(named | F.col("p_type").startswith("ECON") | F.col("p_name").contains("bolt")).select("p_partkey")
+    """The call graph's entries: main, exactly pub, or a path with ``test``."""
+    name = F.when(F.col("p_name") == "red widget", "main").otherwise(F.col("p_name"))
+    path = F.concat(F.when(F.col("p_type").contains("ECON"), "my_tests::").otherwise("src::"), "p_brand")
+    seen = F.element_at(F.array(*map(F.lit, paths.VISIBILITY)), (F.col("p_size") + 4) % 5 + 1)
+    return table(spark, sf_dir, "part").where(paths.is_call_entry(name, path, seen)).select("p_partkey")
 
 
 @query("""WITH v AS (SELECT p_partkey, ['pub', 'pub(crate)', 'pub(super)', 'pub(restricted)', 'private', 'odd'][p_partkey % 6 + 1] AS s FROM part),
@@ -408,10 +397,9 @@ def visibility_case(spark, sf_dir):
     return named.withColumns({"external": paths.may_be_external(F.col("visibility")), "internal": paths.is_crate_internal(F.col("visibility"))})
 
 
-@query("SELECT DISTINCT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+@query("SELECT DISTINCT c_nationkey AS key FROM customer UNION SELECT s_nationkey FROM supplier")
 def usage_union(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
-    return a.union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+    return liveness.union_keys((table(spark, sf_dir, "customer"), "c_nationkey"), (table(spark, sf_dir, "supplier"), "s_nationkey"))
 
 
 @query("SELECT DISTINCT p_partkey AS id FROM part JOIN (SELECT l_suppkey AS k FROM lineitem) ON k = p_partkey")
@@ -419,9 +407,10 @@ def valid_roots(spark, sf_dir):
     return graph.valid_roots(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id")), part_nodes(spark, sf_dir))
 
 
-@query("SELECT DISTINCT p_type FROM part")
+@query("SELECT DISTINCT lower(p_type) AS module FROM part")
 def palette_modules(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type")
+    at = F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/p"), "p_partkey", F.lit(".rs"))
+    return export.clusters_of(table(spark, sf_dir, "part").select(at.alias("path")))
 
 
 # ---------------------------------------------------------------- sinks and streaming
@@ -472,7 +461,7 @@ def rust_dead_modules(spark, sf_dir):
     files = files.unionByName(spark.createDataFrame([("src/main.rs", "mod p0; mod p1; mod p2; fn main() {}")], files.schema))
     files = files.withColumn("stem", paths.stem(F.col("path")))
     roots = files.select(paths.root_name(F.col("path")).alias("id")).where("id is not null")
-    return detectors.dead_modules(files, extract(files), roots).dead.select("name")
+    return detectors.dead_modules(files, parsed(files), roots).dead.select("name")
 
 
 @query("SELECT 'K' || o_orderkey AS name FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -482,7 +471,7 @@ def rust_dead_constants(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 100).alias("k")).distinct()
     used = lines.groupBy("k").agg(F.concat(F.lit("fn f() {"), F.array_join(F.collect_list(F.concat(F.lit("g(K"), "l_orderkey", F.lit(");"))), "\n"), F.lit("}")).alias("content"))
     files = declared.select(F.concat(F.lit("src/d"), "k", F.lit(".rs")).alias("path"), "content").unionByName(used.select(F.concat(F.lit("src/u"), "k", F.lit(".rs")).alias("path"), "content"))
-    return detectors.dead_constants(extract(files)).dead.select("name")
+    return detectors.dead_constants(parsed(files)).dead.select("name")
 
 
 @query("""WITH f AS (SELECT user_id, event_id, event_type = 'error' AND value > 60 AS flag, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY user_id) AS n,
@@ -496,25 +485,16 @@ def rust_match_arms(spark, sf_dir):
     arms = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", arm.alias("arm")))).alias("arms"))
     content = F.concat(F.lit("fn f() { match x {\n"), F.array_join(F.transform("arms", lambda a: a["arm"]), "\n"), F.lit("\n} }"))
     files = arms.select(F.concat(F.lit("src/u"), "user_id", F.lit(".rs")).alias("path"), content.alias("content"))
-    return detectors.dead_match_arms(extract(files)).dead.select("file", "position", "reason")
-
-
-@query("""SELECT 'f' || p_partkey AS full_path FROM part WHERE p_size < 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 1)""")
-def rust_dead_functions(spark, sf_dir):
-    """A private function for each small part and a public one, in a file of its own, that calls those of single pieces."""
-    parts = table(spark, sf_dir, "part").where("p_size < 10").select(F.concat(F.lit("src/f"), "p_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("fn f"), "p_partkey", F.lit("() {}")).alias("content"))
-    called = table(spark, sf_dir, "lineitem").where("l_quantity = 1").select("l_partkey").distinct()
-    calls = called.select(F.concat(F.lit("src/c"), "l_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("pub fn c"), "l_partkey", F.lit("() { f"), "l_partkey", F.lit("() }")).alias("content"))
-    return detectors.dead_functions(extract(parts.unionByName(calls))).dead.select("full_path")
+    return detectors.dead_match_arms(parsed(files)).dead.select("file", "position", "reason")
 
 
 @query("""SELECT 'f' || p_partkey AS full_path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 1)""")
-def rust_dead_functions_whole(spark, sf_dir):
-    """As ``rust_dead_functions``, with a private function for every part.
+def rust_dead_functions(spark, sf_dir):
+    """A private function for each part, and a public one, in a file of its own, that calls those of single pieces.
 
     Only lines of single pieces are calls: every part is on some line, so with all lines as calls no function were dead.
     """
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), "p_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("fn f"), "p_partkey", F.lit("() {}")).alias("content"))
     called = table(spark, sf_dir, "lineitem").where("l_quantity = 1").select("l_partkey").distinct()
     calls = called.select(F.concat(F.lit("src/c"), "l_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("pub fn c"), "l_partkey", F.lit("() { f"), "l_partkey", F.lit("() }")).alias("content"))
-    return detectors.dead_functions(extract(parts.unionByName(calls))).dead.select("full_path")
+    return detectors.dead_functions(parsed(parts.unionByName(calls))).dead.select("full_path")

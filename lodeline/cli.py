@@ -8,7 +8,6 @@ from __future__ import annotations
 import argparse
 import json
 import os
-import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,8 @@ from lodeline.errors import InvalidPathError
 from lodeline.operators import graph
 from lodeline.plans import detectors
 from lodeline.plans.engine import KINDS, Engine, analyze_crates
-from lodeline.sinks import export, fix, report
+from lodeline.sinks import export, report
+from lodeline.sinks.report import json_log
 from lodeline.sources import rust_tree
 from lodeline.sources.rust_tree import checked_output_path
 
@@ -40,6 +40,7 @@ def arguments() -> argparse.ArgumentParser:
     for kind in ("dot", "html", "modgraph", "callgraph", "callgraph-dot", "combined"):
         p.add_argument(f"--{kind}", metavar="FILE")
     p.add_argument("--callgraph-stats", action="store_true")
+    p.add_argument("--reports", action="store_true", help="each detector's counts and dead items under its own heading")
     return p
 
 
@@ -50,12 +51,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for o in filter(None, outputs):
             checked_output_path(o)
     except InvalidPathError as error:
-        print(error, file=sys.stderr)
+        json_log().error(str(error))
         return 2
     spark = spark or SparkSession.builder.getOrCreate()
     root = a.path if rust_tree.is_workspace(a.path) else rust_tree.find_crate_root(a.path)
     config = rust_tree.load_config(os.path.join(root, "lodeline.toml"))
     ignore = [*a.ignore, *(config.ignore if config else [])]
+    if rust_tree.is_workspace(a.path):
+        json_log().info("members", extra={"fields": {"crates": rust_tree.find_crates(a.path)}})
     if a.workspace:
         crates = analyze_crates(spark, rust_tree.find_crates(a.path), ignore_before=ignore)
         print(report.crates_json(crates))
@@ -68,9 +71,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     _exports(a, engine)
     if a.callgraph_stats:
-        print(json.dumps(detectors.unreachable_functions(engine.facts).stats.first().asDict()))
+        print(json.dumps(engine.call_graph.stats.first().asDict()))
     items = engine.analyze().collect()
-    if a.json:
+    if a.reports:
+        print("\n".join(engine.report(kind, a.json) for kind in engine.found()))
+    elif a.json:
         print(json.dumps({"dead": sorted(r["name"].rpartition("::")[2] for r in items if r["kind"] == "module"), "items": [r.asDict() for r in items]}, indent=2))
     else:
         print(report.dead_names_text(r["name"].rpartition("::")[2] for r in items if r["kind"] == "module"))
@@ -78,7 +83,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if r["kind"] != "module":
                 print(f"{r['kind']}  {r['file']}  {r['name']}")
     if a.fix or a.fix_dry_run:
-        done = fix.apply(fix.plan(engine.modules.dead.withColumn("name", F.substring_index("name", "::", -1)), engine.facts), root, dry_run=not a.fix or a.fix_dry_run)
+        done = engine.fix(dry_run=not a.fix or a.fix_dry_run)
+        for error in done.errors:
+            json_log().error(error)
         print(json.dumps(done.__dict__, indent=2))
     return int(bool(items))
 
@@ -97,11 +104,12 @@ def _exports(a: argparse.Namespace, engine: Engine) -> None:
         if a.modgraph:
             export.save(modules, a.modgraph)
     if a.callgraph or a.callgraph_dot or a.combined:
-        nodes, edges = detectors.call_graph(engine.facts)
-        dead = detectors.unreachable_functions(engine.facts).dead.select(F.col("full_path").alias("id"))
+        own = engine.files.select(F.concat("crate", F.lit("//"), "path").alias("path"))
+        nodes, edges = detectors.call_graph(engine.facts, detectors.resolved_usages(own, engine.facts))
+        dead = engine.call_graph.dead.select(F.col("full_path").alias("id"))
         calls = export.graph_json(nodes.withColumn("path", F.col("file")), edges, dead)
         if a.callgraph:
-            export.save(calls, a.callgraph)
+            export.save(export.named_graph_json(nodes, edges), a.callgraph)
         if a.callgraph_dot:
             flagged = nodes.join(dead.withColumn("d", F.lit(True)), "id", "left").withColumn("dead", F.coalesce("d", F.lit(False)))
             export.save(export.dot(flagged, edges, "calls"), a.callgraph_dot)

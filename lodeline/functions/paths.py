@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def normalised(path: Column) -> Column:
-    """Backslashes as slashes."""
-    return F.translate(path, "\\", "/")
+    """Backslashes as slashes, without the prefix of verbatim paths."""
+    return F.regexp_replace(F.translate(path, "\\", "/"), r"^//\?/", "")
 
 
 def stem(path: Column) -> Column:

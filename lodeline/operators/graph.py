@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from lodeline.operators.tables import at_most, materialise, small_side
 
 #: Edges that one Python worker searches; larger graphs are searched by joins, round by round.
 LOCAL_EDGES = 2_000_000
-#: Hops of the distributed search between two tables on disk.
-HOPS_PER_ROUND = 3
+#: Hops of the distributed search between two tables on disk, and tables before they are made one.
+HOPS_PER_ROUND, TABLES = 3, 64
 #: Rows that one task numbers; more are numbered by range.
 LOCAL_IDS = 200_000
 
@@ -72,40 +73,45 @@ def _local(edges: DataFrame, roots: DataFrame, limit: int | None) -> DataFrame:
     ship(edges.sparkSession)
     # A root's src is its id as well, so that no null turns whole numbers into floats.
     rows = edges.select("src", "dst", F.lit(False).alias("root")).unionByName(roots.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("root")))
-    return rows.where("src is not null and dst is not null").coalesce(1).mapInPandas(run, f"id {kind}, level bigint")
+    # Not coalesced, which would pull the work before into the one task as well.
+    return rows.where("src is not null and dst is not null").repartition(1).mapInPandas(run, f"id {kind}, level bigint")
 
 
 def _distributed(edges: DataFrame, roots: DataFrame, limit: int | None) -> DataFrame:
+    """Rounds of hops; each round's new nodes are a table of their own, so what is reached is never written again.
+
+    A lost executor costs a round. The front is the last hop of the last table.
+    """
     # Found once; each round reads them again and, while the front is small, joins without moving them.
     edges = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    front = materialise(roots.select("id", F.lit(0).cast("bigint").alias("level")).where("id is not null").distinct())
-    seen, depth = front, 0
+    tables = [materialise(roots.select("id", F.lit(0).cast("bigint").alias("level")).where("id is not null").distinct())]
+    front, depth = tables[0], 0
     while limit is None or depth < limit:
-        new = None
-        reached = seen
+        new, reached = [], reduce(DataFrame.unionByName, tables).select("id")
         for _ in range(min(HOPS_PER_ROUND, limit - depth) if limit is not None else HOPS_PER_ROUND):
             depth += 1
             step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-            front = step.join(reached.select("id"), "id", "left_anti").withColumn("level", F.lit(depth).cast("bigint"))
-            reached = reached.unionByName(front)
-            new = front if new is None else new.unionByName(front)
-        new = materialise(new)
-        if new.isEmpty():
+            front = step.join(reached, "id", "left_anti").withColumn("level", F.lit(depth).cast("bigint"))
+            reached = reached.union(front.select("id"))
+            new.append(front)
+        tables.append(materialise(reduce(DataFrame.unionByName, new)))
+        front = tables[-1].where(F.col("level") == depth)
+        if front.isEmpty():
             break
-        front = new.where(F.col("level") == depth)
-        seen = materialise(seen.unionByName(new))
-    return seen
+        if len(tables) > TABLES:
+            tables = [materialise(reduce(DataFrame.unionByName, tables))]
+    return reduce(DataFrame.unionByName, tables)
 
 
 def reach(edges: DataFrame, roots: DataFrame, mode: str = "auto", max_level: int | None = None) -> DataFrame:
     """(id, level): all that the roots (id) reach, with the fewest hops from any of them; the roots have level 0.
 
     Cycles, self edges, repeated edges and roots without edges are fine; null ids are left out. ``mode``:
-    ``local`` searches in one Python worker, ``distributed`` by joins, ``auto`` by the number of edges.
+    ``local`` searches in one Python worker, ``distributed`` by joins, ``auto`` by the numbers of edges and roots.
     """
     if mode not in ("auto", "local", "distributed"):
         raise ValueError(f"unknown mode: {mode}")
-    local = mode == "local" or (mode == "auto" and at_most(edges, LOCAL_EDGES))
+    local = mode == "local" or (mode == "auto" and at_most(edges, LOCAL_EDGES) and at_most(roots, LOCAL_EDGES))
     return (_local if local else _distributed)(edges, roots, max_level)
 
 
@@ -122,6 +128,7 @@ def levels_by_source(edges: DataFrame, roots: DataFrame, max_level: int | None =
     kind = roots.schema["id"].dataType.simpleString()
     roots = roots.select("id").where("id is not null").distinct()
     if mode == "distributed" or (mode == "auto" and not at_most(edges, LOCAL_EDGES)):
+        edges = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
         seen = front = materialise(roots.select(F.col("id").alias("source"), "id", F.lit(0).cast("bigint").alias("level")))
         depth = 0
         while max_level is None or depth < max_level:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def dead(declared: DataFrame, used: DataFrame, on: dict[str, str] | list[str]) -
     return declared.join(keys, condition, "left_anti")
 
 
+def union_keys(*used: tuple[DataFrame, str], to: str = "key") -> DataFrame:
+    """(``to``): the different values of one column of each of several tables; nulls are left out."""
+    parts = [df.select(F.col(c).alias(to)) for df, c in used]
+    return reduce(DataFrame.union, parts).where(F.col(to).isNotNull()).distinct()
+
+
 def dead_by_all(declared: DataFrame, evidence: list[tuple[DataFrame, dict[str, str] | list[str]]], required: Column | None = None) -> DataFrame:
     """Rows that are alive by none of several (used, on), nor by ``required``: one anti join after the other."""
     out = declared if required is None else declared.where(~F.coalesce(required, F.lit(False)))

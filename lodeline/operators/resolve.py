@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.operators.tables import at_most
-
-#: Names without an exact match that are compared with all paths, and paths they are compared with.
-FALLBACK_KEYS = 50_000
+from lodeline.operators.tables import materialise
 
 
 def name_edges(declared: DataFrame, calls: DataFrame, self_edges: bool = False) -> DataFrame:
@@ -35,28 +32,34 @@ def suffix_index(paths: DataFrame, column: str, separator: str) -> DataFrame:
     return paths.select(F.explode(suffixes(F.col(column), separator)).alias("suffix"), F.col(column)).distinct()
 
 
+def _ends_in(whole: DataFrame, a: str, ends: DataFrame, b: str) -> DataFrame:
+    """Pairs (a, b) in which the string ``a`` ends in the string ``b``: by equality, on the endings of ``a`` that are as long as some ``b``.
+
+    The lengths are collected; there are as many as the longest ``b`` has characters, at most.
+    """
+    lengths = sorted(r[0] for r in ends.select(F.length(b)).distinct().collect())
+    if not lengths:
+        return whole.select(a).limit(0).withColumn(b, F.lit(None).cast("string"))
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(a))
+    endings = whole.select(a, F.explode(F.transform(fitting, lambda n: F.substr(F.col(a), F.length(a) - n + 1, n))).alias("__end"))
+    return endings.join(ends, F.col("__end") == F.col(b)).select(a, b)
+
+
 def suffix_matches(keys: DataFrame, key: str, paths: DataFrame, path: str, separator: str, both_ways: bool = True) -> DataFrame:
     """(key, path, how) for each key the paths that end in it.
 
-    ``exact``: the key is a suffix by whole segments, found by an equi join. For keys that have none,
-    ``fallback``: the path ends in the key as a string or, with ``both_ways``, the key in the path. Where the path
-    is longer the fallback is a join on the last characters; a string as short as the shortest of them can't be
-    longer than the other, so it is met from either side.
+    ``exact``: the key is a suffix by whole segments. For keys that have none, ``fallback``: the path ends in the key
+    as a string or, with ``both_ways``, the key in the path. The empty string ends every string. All are joins by
+    equality, so no task compares all with all.
     """
     known = paths.select(F.col(path).alias("path")).where("path is not null").distinct()
     asked = keys.select(F.col(key).alias("key")).where("key is not null").distinct()
     index = suffix_index(known, "path", separator)
     exact = asked.join(index, asked["key"] == index["suffix"]).select("key", "path", F.lit("exact").alias("how"))
-    missed = asked.join(exact.select("key"), "key", "left_anti")
-    ends = F.col("path").endswith(F.col("key"))
+    missed = materialise(asked.join(exact.select("key"), "key", "left_anti"))
+    met = _ends_in(known, "path", missed, "key").select("key", "path")
     if both_ways:
-        ends = ends | F.col("key").endswith(F.col("path"))
-    if not at_most(missed, FALLBACK_KEYS):
-        # Both sides dealt by their last character, at least, so that no task compares all with all.
-        tail = lambda c: F.substring(c, -1, 1)
-        met = missed.withColumn("t", tail("key")).join(known.withColumn("t", tail("path")), "t").where(ends)
-    else:
-        met = F.broadcast(missed).join(known, ends)
+        met = met.union(_ends_in(missed, "key", known, "path").select("key", "path")).distinct()
     return exact.unionByName(met.select("key", "path", F.lit("fallback").alias("how")))
 
 
@@ -69,10 +72,10 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, externals: tuple[str, ..
 
     By the call's first segment: ``crate`` is the root; ``self`` the file's module; each ``super`` its parent; an
     external crate stays; an imported name (``imports``: file, local_name, segments) is replaced by what it means;
-    a name alone stays; any other path is below the file's module.
+    a name alone stays; any other path is below the file's module. Of several imports of one name in a file the least path counts.
     """
     parts = F.split("call", "::")
-    used = imports.select("file", F.col("local_name").alias("__local"), F.col("segments").alias("__means")).dropDuplicates(["file", "__local"])
+    used = imports.groupBy("file", F.col("local_name").alias("__local")).agg(F.min("segments").alias("__means"))
     rows = calls.withColumn("__parts", parts).withColumn("__first", F.get("__parts", F.lit(0)))
     rows = rows.join(used, (rows["file"] == used["file"]) & (rows["__first"] == used["__local"]), "left").drop(used["file"])
     rest = F.slice("__parts", 2, F.greatest(F.size("__parts") - 1, F.lit(0)))

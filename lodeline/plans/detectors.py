@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import paths
 from lodeline.operators import graph, liveness, resolve
+from lodeline.operators.tables import materialise
 from lodeline.rust.facts import view
 
 
@@ -102,7 +103,7 @@ def call_graph(facts: DataFrame, resolved: DataFrame | None = None) -> tuple[Dat
     edges = by_name.unionByName(by_path(usages.where("kind = 'qualified'"), True))
     if resolved is not None:
         edges = edges.unionByName(by_path(resolved, False))
-    return nodes, edges.distinct()
+    return nodes, materialise(edges.distinct())
 
 
 def unreachable_functions(facts: DataFrame, resolved: DataFrame | None = None) -> Found:
@@ -111,6 +112,7 @@ def unreachable_functions(facts: DataFrame, resolved: DataFrame | None = None) -
     gone = graph.dead_nodes(nodes, graph.reach(edges, entries))
     counts = nodes.agg(F.count(F.lit(1)).alias("functions")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
     counts = counts.crossJoin(entries.agg(F.count(F.lit(1)).alias("entry_points"))).crossJoin(gone.agg(F.count(F.lit(1)).alias("unreachable")))
+    # The deepest of the entries' own searches is a row for each entry and function; one search from all entries is not that.
     depth = graph.depth_by_source(edges, entries).agg(F.coalesce(F.max("depth"), F.lit(0).cast("bigint")).alias("max_depth"))
     return Found(gone.withColumnRenamed("id", "full_path"), counts.crossJoin(depth))
 
@@ -119,7 +121,8 @@ def unreachable_functions(facts: DataFrame, resolved: DataFrame | None = None) -
 
 
 def _usage_keys(usages: DataFrame) -> DataFrame:
-    return usages.select(F.when(F.col("trait_name").isNotNull(), F.concat("trait_name", F.lit("::"), "method_name")).otherwise(F.col("method_name")).alias("key")).distinct()
+    named = usages.where("trait_name is not null").withColumn("key", F.concat("trait_name", F.lit("::"), "method_name"))
+    return liveness.union_keys((named, "key"), (usages.where("trait_name is null"), "method_name"))
 
 
 def dead_traits(facts: DataFrame) -> dict[str, Found]:

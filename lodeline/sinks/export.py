@@ -48,6 +48,11 @@ def viz_nodes(nodes: DataFrame, dead: DataFrame, name: str = "name") -> DataFram
     return numbered.join(marks, "id", "left").select("number", F.col(name).alias("name"), F.coalesce("__d", F.lit(False)).alias("dead"))
 
 
+def clusters_of(nodes: DataFrame, path: str = "path") -> DataFrame:
+    """(module): the different top clusters of the nodes' paths, sorted; a page gives each a colour by its place."""
+    return nodes.select(paths.top_cluster(F.col(path)).alias("module")).distinct().orderBy("module")
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame, dead: DataFrame) -> str:
     """Nodes with numbers, names, clusters and flags; edges by number; counts."""
     marks = dead.select("id", F.lit(True).alias("__d"))
@@ -65,6 +70,14 @@ def graph_json(nodes: DataFrame, edges: DataFrame, dead: DataFrame) -> str:
     )
 
 
+def named_graph_json(nodes: DataFrame, edges: DataFrame) -> str:
+    """Nodes and edges by their own names: for tools that know functions by path. Every node names what it calls and how many call it."""
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("calls"))
+    into = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
+    rows = nodes.select("id", "name", "file").join(out, "id", "left").join(into, "id", "left").orderBy("id")
+    return json.dumps({"functions": [{"id": r["id"], "name": r["name"], "file": r["file"], "calls": r["calls"] or [], "callers": r["callers"] or 0} for r in rows.toLocalIterator()]})
+
+
 _PAGE = """<!DOCTYPE html>
 <html><head><meta charset="utf-8"><title>{title}</title>
 <style>body{{margin:0;font:13px sans-serif}}#side{{position:fixed;right:0;top:0;width:260px;padding:10px;background:#fffd}}canvas{{display:block}}</style></head>

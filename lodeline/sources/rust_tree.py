@@ -100,10 +100,32 @@ def is_workspace(root: str) -> bool:
 
 
 def find_crates(root: str) -> list[str]:
-    """Folders with a manifest: those one level below, and the root if it has sources."""
-    out = [str(root)] if Path(root, "Cargo.toml").is_file() and Path(root, "src").is_dir() else []
-    if Path(root).is_dir():
-        out += [str(p) for p in sorted(Path(root).iterdir()) if p.name not in PRUNED and (p / "Cargo.toml").is_file()]
+    """The crates of a folder, sorted: the root if it has a manifest and sources, the members that a workspace's manifest
+    lists (with ``*`` patterns, less those it excludes), and, where it lists none, folders one level below with a manifest."""
+    top = Path(root)
+    if not top.is_dir():
+        return []
+    own = [str(top)] if (top / "Cargo.toml").is_file() and (top / "src").is_dir() else []
+    if not (patterns := workspace_lists(root)[0]):
+        return own + [str(p) for p in sorted(top.iterdir()) if p.name not in PRUNED and (p / "Cargo.toml").is_file()]
+    members = {p for pattern in patterns for p in top.glob(pattern) if (p / "Cargo.toml").is_file() and p.name not in PRUNED}
+    gone = {top / x for x in workspace_lists(root)[1]}
+    return own + [str(p) for p in sorted(members) if not any(g == p or g in p.parents for g in gone) and p != top]
+
+
+def workspace_lists(root: str) -> tuple[list[str], list[str]]:
+    """``members`` and ``exclude`` of a workspace's manifest; empty where there is none. A pattern that leaves the folder is an error."""
+    manifest = Path(root, "Cargo.toml")
+    if not manifest.is_file():
+        return [], []
+    try:
+        listed = tomllib.loads(manifest.read_text(errors="replace")).get("workspace", {})
+    except tomllib.TOMLDecodeError as error:
+        raise ConfigError(str(error), str(manifest)) from error
+    out = tuple([str(x).rstrip("/") for x in listed.get(k, [])] if isinstance(listed, dict) else [] for k in ("members", "exclude"))
+    for pattern in out[0]:
+        if os.path.isabs(pattern) or ".." in pattern.split("/"):
+            raise InvalidPathError("a member must be inside the workspace", pattern)
     return out
 
 

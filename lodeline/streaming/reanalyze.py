@@ -6,6 +6,7 @@ A file source doesn't deliver a file again that was edited in place, so edits co
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodeline.functions import paths
 from lodeline.operators.liveness import last_writer
-from lodeline.operators.tables import materialise
+from lodeline.operators.tables import materialise, shared_folder
 from lodeline.plans import detectors
 from lodeline.rust.facts import extract
 
@@ -28,13 +29,16 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def diagnostics(events: DataFrame) -> DataFrame:
-    """(file, message): dead modules and files that can't be parsed, of the latest state."""
+    """(file, severity, line, column, end_line, end_column, message) of the latest state: dead modules are warnings, files
+    that can't be parsed errors. Both are of whole files, so they stand at the first character, counted from 0."""
     files = latest(events).select("path", paths.stem(F.col("path")).alias("stem"), "content")
     facts = extract(files)
     roots = files.select(paths.root_name(F.col("path")).alias("id")).where("id is not null")
     dead = detectors.dead_modules(files, facts, roots).dead
-    errors = facts.where("fact = 'error'").select("file", F.concat(F.lit("parse error: "), "path").alias("message"))
-    return dead.select("file", F.concat(F.lit("dead module: "), "name").alias("message")).unionByName(errors)
+    errors = facts.where("fact = 'error'").select("file", F.lit("error").alias("severity"), F.concat(F.lit("parse error: "), "path").alias("message"))
+    place = {c: F.lit(0) for c in ("line", "column", "end_line")} | {"end_column": F.lit(1)}
+    told = dead.select("file", F.lit("warning").alias("severity"), F.concat(F.lit("dead module: "), "name").alias("message")).unionByName(errors)
+    return told.select("file", "severity", *(v.alias(k) for k, v in place.items()), "message")
 
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[DataFrame, int], None], analyse: Callable[[DataFrame], DataFrame] = diagnostics, schema: str = EVENTS, **trigger) -> StreamingQuery:
@@ -55,6 +59,7 @@ def replay(spark: SparkSession, events: DataFrame, analyse: Callable[[DataFrame]
     folder = materialise(events).inputFiles()
     source = spark.readStream.schema(events.schema).parquet(folder[0].rpartition("/")[0])
     found: list[DataFrame] = []
-    query = source.writeStream.foreachBatch(lambda df, _: found.append(materialise(analyse(df)))).trigger(availableNow=True)
+    checkpoint = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    query = source.writeStream.foreachBatch(lambda df, _: found.append(materialise(analyse(df)))).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query.start().awaitTermination()
     return found[-1] if found else analyse(events.limit(0))

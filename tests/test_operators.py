@@ -106,13 +106,24 @@ def test_last_writer(spark):
     assert [tuple(r) for r in liveness.last_writer(df, ["k"], ["t"]).collect()] == [("a", 3, "z")]
 
 
-def test_suffix_fallback(spark, monkeypatch):
+def test_suffix_fallback(spark):
     keys = spark.createDataFrame([("b::c",), ("oo::c",), ("x::a::b::c",), ("zz",)], "k string")
     known = spark.createDataFrame([("a::b::c",), ("foo::c",)], "p string")
     want = {("b::c", "a::b::c", "exact"), ("oo::c", "foo::c", "fallback"), ("x::a::b::c", "a::b::c", "fallback")}
     assert {tuple(r) for r in resolve.suffix_matches(keys, "k", known, "p", "::").collect()} == want
-    monkeypatch.setattr(resolve, "FALLBACK_KEYS", 0)
-    assert {tuple(r) for r in resolve.suffix_matches(keys, "k", known, "p", "::").collect()} == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text("ab:", max_size=5), max_size=8), st.lists(st.text("ab:", max_size=5), max_size=8), st.booleans())
+def test_suffix_matches_are_brute_force(spark, asked, known, both):
+    """At every size the same joins; the empty string ends every string."""
+    got = resolve.suffix_matches(spark.createDataFrame([(k,) for k in asked], "k string"), "k", spark.createDataFrame([(p,) for p in known], "p string"), "p", "::", both)
+    want = set()
+    for k in set(asked):
+        exact = {p for p in known if k in ["::".join(p.split("::")[i:]) for i in range(len(p.split("::")))]}
+        want |= {(k, p, "exact") for p in exact} or {(k, p, "fallback") for p in known if p.endswith(k) or both and k.endswith(p)}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
 
 
 @pytest.mark.parametrize(

@@ -1,5 +1,6 @@
 import pytest
 
+from lodeline import errors
 from lodeline.plans import detectors
 from lodeline.plans.engine import Engine
 from lodeline.rust.facts import extract, facts_of, view
@@ -223,3 +224,48 @@ def test_views_have_their_columns(spark):
     for name, (_, columns) in VIEWS.items():
         assert view(facts, name).columns == list(columns.values())
     assert view(facts, "errors").count() == 1
+
+
+def test_workspace_members(spark, tmp_path):
+    """Members by patterns and by name, without the excluded; modules of different crates don't meet."""
+    (tmp_path / "Cargo.toml").write_text('[workspace]\nmembers = ["crates/*", "tools/deep/one"]\nexclude = ["crates/old"]\n')
+    for name in ("crates/a", "crates/b", "crates/old", "tools/deep/one", "tools/deep/two"):
+        (tmp_path / name / "src").mkdir(parents=True)
+        (tmp_path / name / "Cargo.toml").write_text(f'[package]\nname = "{name.rpartition("/")[2]}"\n')
+        (tmp_path / name / "src/main.rs").write_text("mod used; fn main() {}")
+        (tmp_path / name / "src/used.rs").write_text("")
+        (tmp_path / name / f"src/lost_{name[-1]}.rs").write_text("")
+    (tmp_path / "crates/empty").mkdir()
+    assert [p.rpartition("/")[2] for p in rust_tree.find_crates(str(tmp_path))] == ["a", "b", "one"]
+    assert {r["name"] for r in Engine(spark, str(tmp_path)).analyze().collect()} == {"a::lost_a", "b::lost_b", "one::lost_e"}
+    (tmp_path / "Cargo.toml").write_text('[workspace]\nmembers = ["../x"]\n')
+    with pytest.raises(errors.InvalidPathError):
+        rust_tree.find_crates(str(tmp_path))
+    with pytest.raises(errors.NotFoundError):
+        Engine(spark, str(tmp_path / "nowhere")).analyze()
+
+
+def test_engine_fixes_and_reports(spark, tmp_path):
+    root = tmp_path / "demo"
+    (root / "src").mkdir(parents=True)
+    (root / "Cargo.toml").write_text('[package]\nname = "demo"\n')
+    (root / "src/main.rs").write_text("mod a;\nfn main() { a::go() }\n")
+    (root / "src/a.rs").write_text("use crate::other::Kind as K;\npub fn go() { K::make() }\nfn spare() {}\n")
+    (root / "src/gone.rs").write_text("mod inner;")
+    (root / "src/inner.rs").write_text("")
+    engine = Engine(spark, str(root)).include("functions", "calls")
+    text = engine.report("function")
+    assert text.startswith("Function: declared") and "spare" in text and engine.found() is engine.found()
+    assert '"detector": "Unreachable Function"' in engine.report("call", as_json=True)
+    with pytest.raises(errors.GraphError):
+        engine.report("macro")
+    told = engine.fix()
+    assert [f.rpartition("/")[2] for f in told.files_removed] == ["gone.rs", "inner.rs"] and (root / "src/gone.rs").exists()
+    engine.fix(dry_run=False)
+    assert sorted(p.name for p in (root / "src").iterdir()) == ["a.rs", "main.rs"]
+
+
+def test_public_names():
+    import lodeline
+
+    assert all(hasattr(lodeline, name) for name in lodeline.__all__)

@@ -52,7 +52,7 @@ def test_every_call_of_every_part_is_an_edge(spark, tmp_path):
 def test_every_part_is_judged(spark, tmp_path):
     pd.DataFrame({"p_partkey": range(30), "p_size": [1 + i for i in range(30)]}).to_parquet(tmp_path / "part.parquet")
     pd.DataFrame({"l_partkey": [3, 20, 25, 4], "l_quantity": [1.0, 1.0, 1.0, 2.0]}).to_parquet(tmp_path / "lineitem.parquet")
-    got = {x["full_path"] for x in catalog.QUERIES["rust_dead_functions_whole"](spark, str(tmp_path)).collect()}
+    got = {x["full_path"] for x in catalog.QUERIES["rust_dead_functions"](spark, str(tmp_path)).collect()}
     assert got == {f"f{i}" for i in range(30)} - {"f3", "f20", "f25"}
 
 
