@@ -17,13 +17,20 @@ __all__ = ["WORD", "forget", "held_out", "in_training", "labelled_rows", "labell
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of an Arrow batch; a batch holds whole texts, so it must stay small.
-BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session, with this package on its executors."""
-    ship(df.sparkSession)
-    return df.sparkSession
+    """The session, with this package on its executors. Where Spark's own bound of 64 MB for an Arrow batch stands, it is
+    lowered to BATCH_BYTES; a bound that the user has set is kept."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BOUND) in ("64MB", "67108864b", str(64 << 20)):
+        spark.conf.set(_BOUND, f"{BATCH_BYTES}b")
+    return spark
+
+
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -111,13 +111,13 @@ class _Rows:
 
     def __init__(self, rows: list[np.ndarray]):
         self.count = len(rows)
-        self.at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.index = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
 
-    def only(self, chosen: np.ndarray, place: np.ndarray) -> _Rows:
-        """The columns that are chosen, at their new places."""
+    def only(self, chosen: np.ndarray, place: np.ndarray | None = None) -> _Rows:
+        """The columns that are chosen, at their new places, if there are any."""
         out, keep = _Rows([]), chosen[self.index]
-        out.count, out.at, out.index = self.count, self.at[keep], place[self.index[keep]]
+        out.count, out.at, out.index = self.count, self.at[keep], self.index[keep] if place is None else place[self.index[keep]]
         return out
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -157,6 +157,11 @@ class _Sample:
         self.errors = np.abs(odds[1] - odds[0]) / spread
         self.terms = np.intersect1d(features(_TERMS), np.union1d(self.own.index, self.swapped.index))
 
+    def keep(self, chosen: np.ndarray) -> _Sample:
+        """Without the features that no setting will choose; what was counted stays."""
+        self.own, self.swapped = self.own.only(chosen), self.swapped.only(chosen)
+        return self
+
     def chosen(self, s: Settings) -> np.ndarray:
         out = (self.seen[0] + self.seen[1] >= s.least) & (self.errors >= s.errors)
         out[self.terms] = True
@@ -196,10 +201,11 @@ def train_features(rows: list[Row] | _Sample, settings: Settings = Settings(), p
     return weights, float(b)
 
 
-def _loss(sample: _Sample, model: tuple[np.ndarray, float], per_row: tuple[float, float]) -> float:
-    """Mean log loss, weighted as in training."""
-    z = np.clip(sample.own.dot(model[0].astype(np.float64)) + model[1], -30, 30)
-    return float(np.average(np.logaddexp(0, np.where(sample.label == 1, -z, z)), weights=np.array(per_row)[sample.label]))
+def _loss(out: tuple[_Rows, np.ndarray], model: tuple[np.ndarray, float], per_row: tuple[float, float]) -> float:
+    """Mean log loss of rows and labels, weighted as in training."""
+    rows, label = out
+    z = np.clip(rows.dot(model[0].astype(np.float64)) + model[1], -30, 30)
+    return float(np.average(np.logaddexp(0, np.where(label == 1, -z, z)), weights=np.array(per_row)[label]))
 
 
 def choose(rows: list[Row], per_row: tuple[float, float] = (1.0, 1.0), folds: int = FOLDS) -> Settings:
@@ -211,7 +217,13 @@ def choose(rows: list[Row], per_row: tuple[float, float] = (1.0, 1.0), folds: in
     by_class = [[r for r in rows if r[2] == k] for k in (0, 1)]
     if min(map(len, by_class)) < 2 * folds:
         return best
-    parts = [[_Sample([r for c in by_class for i, r in enumerate(c) if (i % folds == k) == out]) for out in (False, True)] for k in range(folds)]
+    loosest = Settings(least=min(GRID["least"]), errors=min(GRID["errors"]))
+    parts = []
+    for k in range(folds):
+        kept, out = ([r for c in by_class for i, r in enumerate(c) if (i % folds == k) == left] for left in (False, True))
+        sample = _Sample(kept)
+        any_of = sample.chosen(loosest)
+        parts.append((sample.keep(any_of), (_Rows([own for own, _, _ in out]).only(any_of), np.array([y for _, _, y in out]))))
     known: dict[Settings, float] = {}
 
     def loss(s: Settings) -> float:
