@@ -40,22 +40,20 @@ def _roll(units: int):
     return lambda a, b: (a * shift + b) % F.lit(MODULUS)
 
 
-def units(text: Column) -> Column:
-    """Words, or characters where there are fewer than K words or they are longer than LONG_WORDS on average. An empty text has one empty unit."""
-    line = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    words = F.filter(F.split(line, " "), lambda w: w != "")
-    few = (F.size(words) < K) | (F.length(line) > LONG_WORDS * F.size(words))
-    return F.when(line == "", F.array(F.lit(""))).when(few, F.split(line, "")).otherwise(words)
-
-
 def add_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     """Adds ``to``: an array of longs, each a gram's hash before 31 bits of its place, counted from the end of the range so that of equal hashes the rightmost is least.
 
+    Units are words, or characters where there are fewer than K words or they are longer than LONG_WORDS on average.
     A text of fewer than K units has one gram, all its units; an empty text has one gram as well. ``text`` is not null.
+    Each step is a column of its own, so that none is worked out twice.
     """
     c = lambda name: F.col(f"__{to}_{name}")
     steps = {
-        "units": F.transform(units(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(MODULUS))),
+        "line": F.trim(F.translate(F.col(text), "\t\n\x0b\x0c\r", "     ")),
+        "words": F.split(c("line"), " +"),
+        "few": (F.size(c("words")) < K) | (F.length(c("line")) > LONG_WORDS * F.size(c("words"))),
+        "cut": F.when(c("few") & (c("line") != ""), F.split(c("line"), "")).otherwise(c("words")),
+        "units": F.transform(c("cut"), lambda w: F.pmod(F.xxhash64(w), F.lit(MODULUS))),
         "two": _next(c("units"), c("units"), 1, _roll(1)),
         "four": _next(c("two"), c("two"), 2, _roll(2)),
         "five": _next(c("four"), c("units"), 4, _roll(1)),
