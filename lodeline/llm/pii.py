@@ -361,7 +361,19 @@ def weights_for(docs: DataFrame) -> dict:
     """The weights for these documents. They are kept in the shared folder, under a digest of the settings and the
     words; a later application with the same ones doesn't train again."""
     spark, prose = docs.sparkSession, prose_of(docs)
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)) or trained_here(prose):
+    if prose not in _HERE:
+        if len(_HERE) > 4:
+            _HERE.clear()
+        _HERE[prose] = _found_or_trained(spark, prose)
+    return _HERE[prose]
+
+
+#: The weights that this process has trained or read.
+_HERE: dict[tuple, dict] = {}
+
+
+def _found_or_trained(spark: SparkSession, prose: tuple[str, ...]) -> dict:
+    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
         return trained(prose)
     settings = (LINE, EMBED, HIDDEN, LINES, EPOCHS, BATCH, SEED, SYMBOLS, _TAGS, prose, labelled_lines(64))
     path = f"{base}/lodeline/models/pii-{hashlib.sha256(repr(settings).encode()).hexdigest()[:32]}"
@@ -371,16 +383,6 @@ def weights_for(docs: DataFrame) -> dict:
     return kept
 
 
-_HERE: set = set()
-
-
-def trained_here(prose: tuple[str, ...]) -> bool:
-    """Whether this process has trained them already."""
-    known = prose in _HERE
-    _HERE.add(prose)
-    return known
-
-
 def _kept(spark: SparkSession, path: str) -> dict | None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):

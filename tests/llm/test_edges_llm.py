@@ -136,8 +136,8 @@ def test_weights_are_kept(spark, monkeypatch):
     made = []
     monkeypatch.setattr(pii, "trained", lambda prose: made.append(prose) or {"w": np.ones(3)})
     for _ in range(2):  # as if by two applications
-        monkeypatch.setattr(pii, "_HERE", set())
-        assert pii.weights_for(rows)["w"].tolist() == [1, 1, 1]
+        monkeypatch.setattr(pii, "_HERE", {})
+        assert pii.weights_for(rows)["w"].tolist() == [1, 1, 1] and pii.weights_for(rows) is pii.weights_for(rows)
     assert len(made) == 1
 
 
