@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from lodeline import catalog
+from lodeline.operators import resolve
 
 
 def tables(tmp_path, orders, parts):
@@ -69,3 +70,23 @@ def test_snapshots_have_every_document(spark, tmp_path):
     pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).to_parquet(tmp_path / "documents.parquet")
     got = {x["doc_id"]: x["state"] for x in catalog.QUERIES["snapshot_diff_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: {"src0": "new", "src1": "removed"}.get(s, "changed" if lang == "fr" else "hit") for i, _, lang, s in rows}
+
+
+@pytest.mark.parametrize(("block", "many"), [(4096, 100_000), (2, 3)])
+def test_name_edges_are_whole_and_never_shuffled(spark, monkeypatch, block, many):
+    # Paths in several files and under several names, names called from several files; edges of some callers only.
+    monkeypatch.setattr(resolve, "BLOCK", block)
+    monkeypatch.setattr(resolve, "MANY", many)
+    r = random.Random(3)
+    declared = [(f"f{r.randrange(6)}", f"n{r.randrange(8)}", r.randrange(40)) for _ in range(90)] + [(None, "n0", 41), ("f0", None, 42)]
+    calls = [(f"f{r.randrange(6)}", f"n{r.randrange(8)}") for _ in range(25)] + [("f0", None), (None, "n1"), ("f1", "n1"), ("f1", "n1")]
+    some = [(f, p) for f, _, p in declared if p % 3 == 0]
+    frames = (spark.createDataFrame(declared, "file string, name string, path long"), spark.createDataFrame(calls, "file string, name string"))
+    wanted = spark.createDataFrame(some, "file string, path long")
+    for callers, of in ((None, [(f, p) for f, _, p in declared]), (wanted, some)):
+        for itself in (False, True):
+            edges = resolve.name_edges(*frames, self_edges=itself, callers=callers)
+            want = {(a, b) for f, a in of for g, n in calls if f == g and f for _, m, b in declared if m == n and m and (itself or a != b)}
+            assert sorted(map(tuple, edges.collect())) == sorted(want)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(dsts")]
