@@ -335,11 +335,16 @@ def rust_incremental_parse(spark, sf_dir):
 
 @query("SELECT 'remove_file' AS action, 'src/m' || p_partkey || '.rs' AS target, 'm' || p_partkey AS detail FROM part WHERE p_size = 1 UNION ALL SELECT 'remove_declaration', 'src/main.rs', 'm' || p_partkey FROM part WHERE p_size = 1")
 def rust_fix_plan(spark, sf_dir):
-    """What to remove for some modules that are told dead, by the file that declares them."""
+    """What to remove for some modules that are told dead, by the file that declares them.
+
+    Each crate of a workspace declares 10 000 keys' modules at most: a file that declares all would pass ``facts.MOST_BYTES``
+    as the table grows, and one task would read it. Targets are told below their crate.
+    """
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    declared = parts.agg(F.array_join(F.collect_list(filled("mod m@p;", p=F.col("p_partkey"))), "\n").alias("content")).select(F.lit("src/main.rs").alias("path"), "content")
+    crates = parts.groupBy(F.expr("p_partkey div 10000").alias("crate")).agg(F.array_join(F.collect_list(filled("mod m@p;", p=F.col("p_partkey"))), "\n").alias("content"))
+    declared = crates.select(filled("c@n//src/main.rs", n=F.col("crate")).alias("path"), "content")
     dead = parts.where("p_size = 1").select(F.concat(F.lit("m"), "p_partkey").alias("name"), F.concat(F.lit("src/m"), "p_partkey", F.lit(".rs")).alias("file"))
-    return fix.plan(dead, parsed(declared))
+    return fix.plan(dead, parsed(declared)).withColumn("target", F.substring_index("target", "//", -1))
 
 
 @query(r"SELECT p_partkey, CASE WHEN p_size < 25 THEN 'fn a() {}' || chr(10) ELSE 'mod keep;' || chr(10) || 'fn a() {}' || chr(10) END AS content FROM part")

@@ -7,6 +7,7 @@ import pytest
 
 from lodeline import catalog
 from lodeline.operators import resolve
+from lodeline.rust.facts import MOST_BYTES
 
 
 def tables(tmp_path, orders, parts):
@@ -90,3 +91,13 @@ def test_name_edges_are_whole_and_never_shuffled(spark, monkeypatch, block, many
             assert sorted(map(tuple, edges.collect())) == sorted(want)
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate explode(dsts")]
+
+
+def test_every_module_has_its_declaration(spark, tmp_path):
+    # All declarations together have more bytes than a file may have.
+    keys = [10**18 + i for i in range(420_000)]
+    pd.DataFrame({"p_partkey": keys, "p_size": [1 + i % 1000 for i in range(len(keys))]}).to_parquet(tmp_path / "part.parquet")
+    assert len(keys) * len(f"mod m{keys[0]};") > MOST_BYTES
+    got = sorted(map(tuple, catalog.QUERIES["rust_fix_plan"](spark, str(tmp_path)).collect()))
+    dead = keys[::1000]
+    assert got == sorted([("remove_file", f"src/m{k}.rs", f"m{k}") for k in dead] + [("remove_declaration", "src/main.rs", f"m{k}") for k in dead])
