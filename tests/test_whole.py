@@ -101,3 +101,19 @@ def test_every_module_has_its_declaration(spark, tmp_path):
     got = sorted(map(tuple, catalog.QUERIES["rust_fix_plan"](spark, str(tmp_path)).collect()))
     dead = keys[::1000]
     assert got == sorted([("remove_file", f"src/m{k}.rs", f"m{k}") for k in dead] + [("remove_declaration", "src/main.rs", f"m{k}") for k in dead])
+
+
+def test_name_edges_are_packed_in_files(spark, monkeypatch, tmp_path):
+    # 500 callers of one file, 3000 callees under either of two names, written to one file.
+    monkeypatch.setattr(resolve, "EDGES", 10_000, raising=False)
+    declared = [("f", "main", p) for p in range(500)] + [(f"g{n}", f"n{n}", 10_000 * (n + 1) + 7 * p) for n in (0, 1) for p in range(3000)]
+    frames = spark.createDataFrame(declared, "file string, name string, path long"), spark.createDataFrame([("f", "n0"), ("f", "n1")], "file string, name string")
+    edges = resolve.name_edges(*frames)
+    edges.coalesce(1).write.parquet(str(tmp_path / "edges"))
+    got = pd.read_parquet(tmp_path / "edges")
+    assert len(got) == len(got.drop_duplicates()) == 500 * 6000 and set(got["src"]) == set(range(500)) and set(got["dst"]) == {p for _, n, p in declared if n != "main"}
+    assert sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet")) < len(got) // 4  # two bits an edge
+    # Tasks follow the edges; without large rows there are none of their own.
+    called, callers, callees = frames[1].distinct(), frames[0].selectExpr("file", "path as src"), frames[0].selectExpr("name", "path as dst")
+    assert resolve._tasks(called, callers, callees) == 300
+    assert resolve._tasks(called, callers.where("src < 10"), callees) == 0
